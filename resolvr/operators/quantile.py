@@ -92,9 +92,17 @@ def exact_quantiles(df: DataFrame, col: str, qs: list[float], by: list[str] | No
     by = list(by or [])
     base = df.select(*by, F.col(col).cast("double").alias("_x"))
     stats = _bracket_stats(base, "_x", qs, by, accuracy, 3.0 / accuracy)
-    res = materialize(_refine(base, "_x", by, stats))
+    res = _refine(base, "_x", by, stats)
+    if not by:
+        # one row per quantile: bring it to the driver instead of storing it
+        rows = res.collect()
+        res = df.sparkSession.createDataFrame(rows, res.schema)
+        failed = any(not r["ok"] for r in rows)
+    else:
+        res = materialize(res)
+        failed = res.where(~F.col("ok")).limit(1).count() > 0
     bad = res.where(~F.col("ok")).select(*by).distinct()
-    if bad.limit(1).count() > 0:
+    if failed:
         sub = base.join(F.broadcast(bad), on=by, how="inner") if by else base
         stats2 = _bracket_stats(sub, "_x", qs, by, accuracy, None)
         redo = _refine(sub, "_x", by, stats2)

@@ -9,9 +9,9 @@ the low 33 bits). Per-partition counts form a table with one row per
 partition; its prefix sums are broadcast (size bounded by the partition
 count) and added to the local position.
 
-The numbered frame is written to the shared checkpoint folder first, so the
-count branch and the row branch see identical partitions, and a lost
-executor recomputes nothing that could renumber rows.
+The numbered frame is written (Parquet) to the shared checkpoint folder
+first, so the count branch and the row branch see identical numbers, and a
+lost executor recomputes nothing that could renumber rows.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import persist_table
 
 _LOW_BITS = (1 << 33) - 1
 
@@ -46,7 +46,7 @@ def global_rank(df: DataFrame, orders: list[Column], rank_col: str = "row_rank",
     numbered = (df.repartitionByRange(n, *orders)
                   .sortWithinPartitions(*orders)
                   .withColumn("_rk_id", F.monotonically_increasing_id()))
-    numbered = materialize(numbered)
+    numbered = persist_table(numbered, "ranked")
     pid = F.shiftright(F.col("_rk_id"), 33)
     counts = numbered.groupBy(pid.alias("_rk_pid")).agg(F.count(F.lit(1)).alias("_rk_n"))
     before = Window.orderBy("_rk_pid").rowsBetween(Window.unboundedPreceding, -1)

@@ -80,6 +80,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def persist_table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet into a fresh folder under the shared
+    checkpoint folder and return a DataFrame reading it back: lineage cut,
+    columnar re-reads with pruning and pushdown, survives executor loss."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for hand-off tables."""
     base = checkpoint_dir(spark)
