@@ -2,116 +2,126 @@
 ``quantile_cont``) that scale, globally or per group.
 
 ``percentile()`` / ``median()`` keep a value -> count map, and the final
-merge of a global or a hot group's aggregate happens in one task, so they
-do not survive a column with billions of distinct values. Here:
-
-1. ``percentile_approx`` (bounded-memory sketch, partial aggregation)
-   brackets, per group and per quantile, the two order statistics that the
-   interpolation needs, with a margin of a few times the sketch's rank
-   error.
-2. One pass over the data counts the rows below each bracket, and keeps
-   only the rows inside a bracket (a few / accuracy of the group),
-   grouped by value.
-3. Cumulative counts over those small tables locate the order statistics.
-
-A bracket that does not hold both ranks (the check is exact) is redone
-with the whole [min, max] range of that group, so the answer is always
-exact. The driver only ever sees one scalar row or the list of failed
-groups.
+merge of a global (or a hot group's) aggregate happens in one task; the
+sketches of ``percentile_approx`` are smaller but still all meet in that one
+task. Here the order statistics are found by a distributed selection:
+
+* Each target is one order statistic (group, quantile, lower/upper rank r)
+  with a state: a closed value interval [lo, hi] known to hold it, the
+  number ``off`` of the group's rows below lo, and the number ``cnt`` of
+  rows inside. It starts as [min, max], off = 0.
+* While a target's interval holds more than ``final_rows`` rows, one pass
+  over the rows inside the intervals builds an equal-width histogram of
+  ``buckets`` bins per target (a grouped count with partial aggregation, so
+  a hot value costs one row per task) that also records each bin's min and
+  max. The bin holding rank r becomes the new interval [bin min, bin max]:
+  the bin function is monotone, so exactly the rows of that bin lie in it.
+* The last pass groups the rows inside each interval by value and reads
+  the order statistic off the cumulative counts (at most ``final_rows``
+  rows per target).
+
+Every pass is a distributed aggregate over the narrow (group, value)
+projection, written once to the shared checkpoint folder so that all passes
+see the same values; the target state (targets x a few numbers) is written
+there between passes.
 """
 
 from __future__ import annotations
 
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
-
-
-def _bracket_stats(df: DataFrame, v: str, qs: list[float], by: list[str], accuracy: int,
-                   margin: float | None) -> DataFrame:
-    """Per group: n, and for each quantile j: lo_j, hi_j, k0_j, k1_j, frac_j."""
-    flat = []
-    if margin is not None:
-        for q in qs:
-            flat += [max(0.0, q - margin), min(1.0, q + margin)]
-    aggs = [F.count(F.col(v)).alias("_n"), F.min(v).alias("_mn"), F.max(v).alias("_mx")]
-    if margin is not None:
-        aggs.append(F.percentile_approx(v, flat, accuracy).alias("_b"))
-    g = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
-    g = g.where(F.col("_n") > 0)
-    cols = []
-    n = F.col("_n")
-    for j, q in enumerate(qs):
-        pos = F.lit(q) * (n - 1)
-        k0 = F.floor(pos)
-        if margin is None:
-            lo, hi = F.col("_mn"), F.col("_mx")
-        else:
-            lo = F.col("_mn") if flat[2 * j] == 0.0 else F.col("_b")[2 * j]
-            hi = F.col("_mx") if flat[2 * j + 1] == 1.0 else F.col("_b")[2 * j + 1]
-        cols.append(F.struct(F.lit(j).alias("j"), lo.alias("lo"), hi.alias("hi"),
-                             k0.alias("k0"), F.least(k0 + 1, n - 1).alias("k1"),
-                             (pos - k0).alias("frac")).alias(f"_s{j}"))
-    return g.select(*by, "_n", F.array(*cols).alias("_s"))
-
-
-def _refine(df: DataFrame, v: str, by: list[str], stats: DataFrame) -> DataFrame:
-    """Order statistics from the brackets -> (by..., j, value, ok).
-
-    One pass: rows above the bracket are dropped, rows below it collapse
-    into one null-valued entry per (group, j) whose count is the number
-    below, rows inside are grouped by value."""
-    s = stats.select(*by, F.explode("_s").alias("s")).select(*by, "s.*")
-    data = df.select(*by, F.col(v).alias("_v")).where(F.col("_v").isNotNull())
-    # the bracket table has groups x quantiles rows; AQE broadcasts it
-    # when small and uses a (skew-split) sort-merge join otherwise
-    j = data.join(s, on=by, how="inner") if by else data.crossJoin(F.broadcast(s))
-    tagged = (j.where(F.col("_v") <= F.col("hi"))
-               .select(*by, "j", F.when(F.col("_v") >= F.col("lo"), F.col("_v")).alias("_bv")))
-    g = tagged.groupBy(*by, "j", "_bv").agg(F.count(F.lit(1)).alias("c"))
-    w = (Window.partitionBy(*by, "j").orderBy(F.col("_bv").asc_nulls_first())
-               .rowsBetween(Window.unboundedPreceding, 0))
-    cum = g.withColumn("cum", F.sum("c").over(w)).join(s, on=by + ["j"])
-    below = F.coalesce(F.max(F.when(F.col("_bv").isNull(), F.col("cum"))), F.lit(0))
-    picked = cum.groupBy(*by, "j").agg(
-        F.min(F.when(F.col("_bv").isNotNull() & (F.col("cum") > F.col("k0")), F.col("_bv"))).alias("v0"),
-        F.min(F.when(F.col("_bv").isNotNull() & (F.col("cum") > F.col("k1")), F.col("_bv"))).alias("v1"),
-        F.max("cum").alias("upto"), below.alias("below"),
-        F.first("k0").alias("k0"), F.first("k1").alias("k1"), F.first("frac").alias("frac"))
-    ok = (F.col("below") <= F.col("k0")) & (F.col("k1") < F.col("upto"))
-    value = F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("frac")
-    return picked.select(*by, "j", value.alias("value"), ok.alias("ok"))
+from ..session import persist_table
+
+
+def _attach(rows: DataFrame, targets: DataFrame, by: list[str]) -> DataFrame:
+    """Rows inside their targets' intervals. Targets per group are few; for
+    the global case they are at most 2 x quantiles rows (broadcast)."""
+    if by:
+        j = rows.join(targets, on=by, how="inner")
+    else:
+        j = rows.crossJoin(F.broadcast(targets))
+    return j.where(F.col("_x").between(F.col("lo"), F.col("hi")))
+
+
+def _level(rows: DataFrame, targets: DataFrame, by: list[str], buckets: int) -> DataFrame:
+    """One histogram pass: narrow each active target to one bin."""
+    j = _attach(rows, targets, by)
+    width = F.col("hi") - F.col("lo")
+    b = F.least(F.floor((F.col("_x") - F.col("lo")) / width * F.lit(buckets)), F.lit(buckets - 1))
+    h = j.groupBy("_t", b.alias("_b")).agg(F.count(F.lit(1)).alias("c"), F.min("_x").alias("bmin"),
+                                          F.max("_x").alias("bmax"))
+    w = Window.partitionBy("_t").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    h = h.withColumn("before", F.coalesce(F.sum("c").over(w), F.lit(0)))
+    t = targets.select("_t", "r", "off")
+    pick = (h.join(t, "_t")
+             .where((F.col("off") + F.col("before") <= F.col("r")) &
+                    (F.col("r") < F.col("off") + F.col("before") + F.col("c"))))
+    return pick.select("_t", F.col("bmin").alias("lo"), F.col("bmax").alias("hi"),
+                       (F.col("off") + F.col("before")).alias("off"), F.col("c").alias("cnt"))
+
+
+def _finish(rows: DataFrame, targets: DataFrame, by: list[str]) -> DataFrame:
+    """Value-grouped pass: (_t, value) for each remaining target."""
+    j = _attach(rows, targets, by)
+    g = j.groupBy("_t", "_x").agg(F.count(F.lit(1)).alias("c"))
+    w = Window.partitionBy("_t").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    g = g.withColumn("cum", F.sum("c").over(w)).join(targets.select("_t", "r", "off"), "_t")
+    return (g.where(F.col("off") + F.col("cum") > F.col("r"))
+             .groupBy("_t").agg(F.min("_x").alias("value")))
 
 
 def exact_quantiles(df: DataFrame, col: str, qs: list[float], by: list[str] | None = None,
-                    accuracy: int = 100_000) -> DataFrame:
+                    buckets: int = 4096, final_rows: int = 1_000_000, max_levels: int = 64) -> DataFrame:
     """Long table (by..., q, value): exact q-quantiles of non-null ``col``
     per group (groups without values are absent)."""
     by = list(by or [])
-    base = df.select(*by, F.col(col).cast("double").alias("_x"))
-    stats = _bracket_stats(base, "_x", qs, by, accuracy, 3.0 / accuracy)
-    res = _refine(base, "_x", by, stats)
-    if not by:
-        # one row per quantile: bring it to the driver instead of storing it
-        rows = res.collect()
-        res = df.sparkSession.createDataFrame(rows, res.schema)
-        failed = any(not r["ok"] for r in rows)
-    else:
-        res = materialize(res)
-        failed = res.where(~F.col("ok")).limit(1).count() > 0
-    bad = res.where(~F.col("ok")).select(*by).distinct()
-    if failed:
-        sub = base.join(F.broadcast(bad), on=by, how="inner") if by else base
-        stats2 = _bracket_stats(sub, "_x", qs, by, accuracy, None)
-        redo = _refine(sub, "_x", by, stats2)
-        res = res.where(F.col("ok")).unionByName(redo)
+    # the passes must see identical values: a recomputed aggregate can differ
+    # in the last bit, so the narrow (group, value) projection is written once
+    rows = persist_table(df.select(*by, F.col(col).cast("double").alias("_x"))
+                           .where(F.col("_x").isNotNull()), "quantile_rows")
+    stats = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("_x").alias("mn"),
+                                  F.max("_x").alias("mx"))
+    specs = []
+    for j, q in enumerate(qs):
+        pos = F.lit(float(q)) * (F.col("n") - 1)
+        k0 = F.floor(pos)
+        for side, r in ((0, k0), (1, F.least(k0 + 1, F.col("n") - 1))):
+            specs.append(F.struct(F.lit(j).alias("j"), F.lit(side).alias("side"), r.alias("r"),
+                                  (pos - k0).alias("frac")))
+    targets = (stats.select(*by, "n", "mn", "mx", F.explode(F.array(*specs)).alias("s"))
+                    .select(*by, "n", "s.*", F.col("mn").alias("lo"), F.col("mx").alias("hi"),
+                            F.lit(0).cast("long").alias("off"), F.col("n").alias("cnt"))
+                    .withColumn("_t", F.monotonically_increasing_id()))
+    targets = persist_table(targets, "quantile_targets")
+    meta = targets.select("_t", *by, "j", "side", "frac")
+    state = targets.select("_t", *by, "r", "lo", "hi", "off", "cnt")
+    for _ in range(max_levels):
+        active = state.where((F.col("cnt") > F.lit(final_rows)) & (F.col("lo") < F.col("hi")))
+        if active.limit(1).count() == 0:
+            break
+        narrowed = _level(rows, active, by, buckets)
+        nxt = (state.join(narrowed.withColumnsRenamed({"lo": "nlo", "hi": "nhi", "off": "noff", "cnt": "ncnt"}),
+                          "_t", "left")
+                    .select("_t", *by, "r",
+                            F.coalesce("nlo", "lo").alias("lo"), F.coalesce("nhi", "hi").alias("hi"),
+                            F.coalesce("noff", "off").alias("off"), F.coalesce("ncnt", "cnt").alias("cnt")))
+        state = persist_table(nxt, "quantile_state")
+    # targets already narrowed to one value need no value pass
+    single = state.where(F.col("lo") == F.col("hi")).select("_t", F.col("lo").alias("value"))
+    rest = state.where(F.col("lo") < F.col("hi"))
+    values = single.unionByName(_finish(rows, rest, by))
+    v = values.join(meta, "_t")
+    out = v.groupBy(*by, "j").agg(
+        F.max(F.when(F.col("side") == 0, F.col("value"))).alias("v0"),
+        F.max(F.when(F.col("side") == 1, F.col("value"))).alias("v1"),
+        F.first("frac").alias("frac"))
     qmap = F.element_at(F.array(*[F.lit(float(q)) for q in qs]), F.col("j") + 1)
-    return res.select(*by, qmap.alias("q"), "value")
+    value = F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("frac")
+    return out.select(*by, qmap.alias("q"), value.alias("value"))
 
 
-def exact_quantile(df: DataFrame, col: str, q: float, accuracy: int = 100_000) -> float | None:
+def exact_quantile(df: DataFrame, col: str, q: float, **kw) -> float | None:
     """Scalar exact quantile of the non-null values of ``col``."""
-    rows = exact_quantiles(df, col, [q], accuracy=accuracy).collect()
+    rows = exact_quantiles(df, col, [q], **kw).collect()
     return rows[0]["value"] if rows else None

@@ -21,21 +21,21 @@ def test_p99_values_1_to_101(spark):
     assert kept.count() == 100 and kept.agg(F.max("RESPONSE_TIME_DAYS")).first()[0] == 100.0
 
 
-@pytest.mark.parametrize("accuracy", [100_000, 10])
-def test_exact_quantiles_match_numpy(spark, accuracy):
+@pytest.mark.parametrize("buckets,final_rows", [(4096, 1_000_000), (4, 10), (2, 1)])
+def test_exact_quantiles_match_numpy(spark, buckets, final_rows):
     rnd = random.Random(7)
     rows = [(g, float(rnd.randint(0, 300)) if rnd.random() > .1 else rnd.random())
             for g in ("a", "b", "c") for _ in range(rnd.randint(5, 400))]
     rows += [("hot", 1.0)] * 500 + [("hot", 2.0)]
     df = spark.createDataFrame(rows, "g string, v double")
     qs = [0.0, 0.25, 0.5, 0.99, 1.0]
-    got = {(r["g"], r["q"]): r["value"] for r in exact_quantiles(df, "v", qs, by=["g"], accuracy=accuracy).collect()}
+    got = {(r["g"], r["q"]): r["value"] for r in exact_quantiles(df, "v", qs, by=["g"], buckets=buckets, final_rows=final_rows).collect()}
     for g in {r[0] for r in rows}:
         vals = np.array([v for gg, v in rows if gg == g])
         for q in qs:
             assert got[(g, q)] == pytest.approx(float(np.quantile(vals, q)), rel=1e-12, abs=1e-12)
     allv = np.array([v for _, v in rows])
-    assert exact_quantile(df, "v", 0.5, accuracy=accuracy) == pytest.approx(float(np.quantile(allv, 0.5)))
+    assert exact_quantile(df, "v", 0.5, buckets=buckets, final_rows=final_rows) == pytest.approx(float(np.quantile(allv, 0.5)))
 
 
 def test_global_rank_matches_sort_with_hot_day(spark):
