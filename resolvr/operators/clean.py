@@ -88,13 +88,13 @@ def positive_only(df: DataFrame, col: str = "RESPONSE_TIME_DAYS") -> DataFrame:
 
 
 def remove_above_quantile(df: DataFrame, col: str = "RESPONSE_TIME_DAYS", q: float = 0.99,
-                          threshold: float | None = None):
+                          threshold: float | None = None, stable: bool = False):
     """Remove (not clip) rows above the q-quantile.
 
     Returns ``(kept, threshold)``. The threshold is computed exactly over
     ``df`` unless given (e.g. fitted on the training slice only)."""
     if threshold is None:
-        threshold = exact_quantile(df, col, q)
+        threshold = exact_quantile(df, col, q, stable=stable)
     if threshold is None:
         return df, None
     return df.where(F.col(col) <= F.lit(threshold)), threshold

@@ -18,11 +18,12 @@ from ..functions import time as tf
 from .quantile import exact_quantiles
 
 
-def monthly_trend(df: DataFrame, time_col: str = "CREATED_DATE", target: str = "RESPONSE_TIME_DAYS") -> DataFrame:
+def monthly_trend(df: DataFrame, time_col: str = "CREATED_DATE", target: str = "RESPONSE_TIME_DAYS",
+                  stable: bool = False) -> DataFrame:
     """Per month: mean, exact median, sample std, and mean -/+ std (A5)."""
     m = df.select(tf.month_start(time_col).alias("month_start"), F.col(target).alias("_y"))
     g = m.groupBy("month_start").agg(F.avg("_y").alias("mean"), F.stddev_samp("_y").alias("std"))
-    med = (exact_quantiles(m, "_y", [0.5], by=["month_start"])
+    med = (exact_quantiles(m, "_y", [0.5], by=["month_start"], stable=stable)
            .select("month_start", F.col("value").alias("median")))
     return (g.join(med, "month_start", "left")
              .withColumn("lower", F.col("mean") - F.col("std"))
@@ -86,13 +87,13 @@ def hexbin_mean(df: DataFrame, x: str = "LONGITUDE", y: str = "LATITUDE",
                   F.avg("_v").alias("mean_value"), F.count(F.lit(1)).alias("n_points")))
 
 
-def target_summary(df: DataFrame, target: str = "RESPONSE_TIME_DAYS") -> DataFrame:
+def target_summary(df: DataFrame, target: str = "RESPONSE_TIME_DAYS", stable: bool = False) -> DataFrame:
     """mean, exact median, sample std, adjusted skew, min, max."""
     y = F.col(target)
     g = df.agg(F.avg(y).alias("mean"), F.stddev_samp(y).alias("std"),
                sf.adjusted_skewness(y).alias("skew"), F.min(y).alias("min"),
                F.max(y).alias("max"), F.count(y).alias("n"))
-    med = exact_quantiles(df, target, [0.5]).select(F.col("value").alias("median"))
+    med = exact_quantiles(df, target, [0.5], stable=stable).select(F.col("value").alias("median"))
     return g.crossJoin(med)
 
 
@@ -134,7 +135,7 @@ def null_counts(df: DataFrame) -> DataFrame:
                .drop("__rows"))
 
 
-def table_profile(df: DataFrame, numeric: list[str] | None = None) -> DataFrame:
+def table_profile(df: DataFrame, numeric: list[str] | None = None, stable: bool = False) -> DataFrame:
     """dtype, count, mean, std, min, exact quartiles, max per numeric
     column (A19), as ``describe()`` gives them."""
     from ..operators.clean import numeric_columns
@@ -153,7 +154,7 @@ def table_profile(df: DataFrame, numeric: list[str] | None = None) -> DataFrame:
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in numeric
     ])).alias("s")).select("s.*")
-    qs = exact_quantiles(long, "v", [0.25, 0.5, 0.75], by=["column_name"])
+    qs = exact_quantiles(long, "v", [0.25, 0.5, 0.75], by=["column_name"], stable=stable)
     piv = qs.groupBy("column_name").agg(
         F.max(F.when(F.col("q") == 0.25, F.col("value"))).alias("q25"),
         F.max(F.when(F.col("q") == 0.5, F.col("value"))).alias("q50"),

@@ -58,7 +58,7 @@ def prepare_requests(df: DataFrame, cfg: CompareConfig) -> tuple[DataFrame, floa
     if cfg.positive_only:
         df = clean.positive_only(df)
     df = persist_table(df, "prepared")
-    kept, t = clean.remove_above_quantile(df, "RESPONSE_TIME_DAYS", cfg.cap_quantile)
+    kept, t = clean.remove_above_quantile(df, "RESPONSE_TIME_DAYS", cfg.cap_quantile, stable=True)
     if cfg.drop_missing_weather:
         kept, _ = clean.drop_missing_weather(kept)
     return kept, t

@@ -244,7 +244,7 @@ def baseline_improvement(spark, d):
 
 @key("monthly_trend")
 def monthly_trend(spark, d):
-    t = profile.monthly_trend(pp.eda_frame(spark, d))
+    t = profile.monthly_trend(pp.eda_frame(spark, d), stable=True)
     return t.select("month_start", r6("mean").alias("mean"), r6("median").alias("median"),
                     r6("std").alias("std"), r6("lower").alias("lower"), r6("upper").alias("upper"))
 
@@ -287,7 +287,7 @@ def hexbin_mean(spark, d):
 
 @key("target_summary")
 def target_summary(spark, d):
-    s = profile.target_summary(pp.eda_frame(spark, d))
+    s = profile.target_summary(pp.eda_frame(spark, d), stable=True)
     return s.select(r6("mean").alias("mean"), r6("median").alias("median"), r6("std").alias("std"),
                     r6("skew").alias("skew"), r6("min").alias("min"), r6("max").alias("max"), "n")
 
@@ -330,7 +330,7 @@ PROFILE_COLUMNS = ["LATITUDE", "LONGITUDE", "CREATED_HOUR", "CREATED_DAY_OF_WEEK
 
 @key("table_profile")
 def table_profile(spark, d):
-    p = profile.table_profile(pp.eda_frame(spark, d), PROFILE_COLUMNS)
+    p = profile.table_profile(pp.eda_frame(spark, d), PROFILE_COLUMNS, stable=True)
     return p.select("column_name", "dtype", "count", r6("mean").alias("mean"), r6("std").alias("std"),
                     r6("min").alias("min"), r6("q25").alias("q25"), r6("q50").alias("q50"),
                     r6("q75").alias("q75"), r6("max").alias("max"))
