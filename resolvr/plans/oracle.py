@@ -195,8 +195,8 @@ def _null_counts_sql() -> str:
     cols = ["SR_NUMBER", "SR_TYPE", "ORIGIN", "CREATED_DATE", "CLOSED_DATE", "ZIP_CODE", "LATITUDE",
             "LONGITUDE", "CREATED_HOUR", "CREATED_DAY_OF_WEEK", "CREATED_MONTH", "RESPONSE_TIME_DAYS",
             "CREATED_DAY", "temp_mean", "precipitation", "snowfall"]
-    parts = [f"SELECT '{c}' AS column_name, count_if({c} IS NULL) AS null_count, "
-             f"round(count_if({c} IS NULL) * 100.0 / count(*), 6) AS null_pct FROM wj" for c in cols]
+    parts = [f"SELECT '{c}' AS column_name, CAST(count_if({c} IS NULL) AS BIGINT) AS null_count, "
+             f"round(CAST(count_if({c} IS NULL) AS BIGINT) * 100.0 / count(*), 6) AS null_pct FROM wj" for c in cols]
     return w(REQ, WEATHER) + "\n" + "\nUNION ALL ".join(parts)
 
 
@@ -285,7 +285,7 @@ SELECT t.model, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS
        round(min(CASE WHEN mae >= q1 - 1.5 * iqr THEN mae END), 6) AS whisker_low,
        round(max(CASE WHEN mae <= q3 + 1.5 * iqr THEN mae END), 6) AS whisker_high,
        round(avg(mae), 6) AS mean, round(stddev_pop(mae), 6) AS std,
-       count_if(mae < q1 - 1.5 * iqr OR mae > q3 + 1.5 * iqr) AS n_outliers
+       CAST(count_if(mae < q1 - 1.5 * iqr OR mae > q3 + 1.5 * iqr) AS BIGINT) AS n_outliers
 FROM trials t JOIN qq USING (model) GROUP BY t.model, q1, median, q3, iqr"""
 
 
@@ -361,8 +361,8 @@ SELECT SR_NUMBER, round(RESPONSE_TIME_DAYS, 6) AS RESPONSE_TIME_DAYS FROM eda WH
     q["p99_filter"] = w(REQ, BASE) + """
 SELECT SR_NUMBER, round(RESPONSE_TIME_DAYS, 6) AS RESPONSE_TIME_DAYS FROM capped"""
     q["p99_removed"] = w(REQ, BASE) + """
-SELECT round(t, 6) AS threshold, count(*) AS n_before, count_if(RESPONSE_TIME_DAYS > t) AS n_removed,
-       round(count_if(RESPONSE_TIME_DAYS > t) * 100.0 / count(*), 6) AS pct_removed FROM eda, p99 GROUP BY t"""
+SELECT round(t, 6) AS threshold, count(*) AS n_before, CAST(count_if(RESPONSE_TIME_DAYS > t) AS BIGINT) AS n_removed,
+       round(CAST(count_if(RESPONSE_TIME_DAYS > t) AS BIGINT) * 100.0 / count(*), 6) AS pct_removed FROM eda, p99 GROUP BY t"""
     q["weather_join"] = w(REQ, WEATHER) + """
 SELECT SR_NUMBER, CREATED_DAY, temp_mean, precipitation, snowfall FROM wj"""
     q["weather_features"] = w(REQ, WEATHER) + f"""
@@ -384,9 +384,9 @@ SELECT CAST(year(CREATED_DATE) AS BIGINT) AS year, count(SR_NUMBER) AS total_req
        count(temp_mean) AS with_weather,
        round_even(count(temp_mean) * 100.0 / count(SR_NUMBER), 2) AS pct_with_weather FROM wj GROUP BY 1"""
     q["weather_flag_counts"] = w(REQ, WEATHER) + f"""
-SELECT count_if(temp_mean < {wf.COLD_BELOW_F}) AS extreme_cold_requests,
-       count_if(precipitation > {wf.HEAVY_PRECIP_ABOVE_IN}) AS heavy_precipitation_requests,
-       count_if(snowfall > {wf.SNOW_ABOVE_IN}) AS snow_day_requests FROM wj"""
+SELECT CAST(count_if(temp_mean < {wf.COLD_BELOW_F}) AS BIGINT) AS extreme_cold_requests,
+       CAST(count_if(precipitation > {wf.HEAVY_PRECIP_ABOVE_IN}) AS BIGINT) AS heavy_precipitation_requests,
+       CAST(count_if(snowfall > {wf.SNOW_ABOVE_IN}) AS BIGINT) AS snow_day_requests FROM wj"""
     q["weather_stats"] = _weather_stats_sql()
     q["date_range"] = w(REQ) + """
 SELECT min(CAST(CREATED_DATE AS DATE)) AS min_date, max(CAST(CREATED_DATE AS DATE)) AS max_date,
