@@ -26,16 +26,22 @@ def shapley(model, rows: DataFrame, background: DataFrame, features: list[str],
             key: str = "SR_NUMBER", permutations: int = 8, background_size: int = 100,
             seed: int = 42, model_name: str = "model") -> DataFrame:
     """(key, model_name, feature, value, attribution) per explained row."""
+    from ..session import persist_table
     nf = len(features)
+    # a stored unique row id: the request key may repeat, and the ids must
+    # not change between the branches that reuse them
+    rows = persist_table(rows.select(key, *features).withColumn("_rid", F.monotonically_increasing_id()),
+                         "shapley_rows")
     bg = exact_sample(background.select(key, *features), background_size, seed, key)
     bg = bg.withColumn("_bg", F.row_number().over(Window.orderBy(key)) - 1)   # <= background_size rows
     bg = bg.select("_bg", *[F.col(f).alias(f"_z_{f}") for f in features])
     n_bg = bg.count()
-    perm = rows.select(key, *features).withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
-    perm = perm.withColumn("_bg", F.pmod(F.xxhash64(key, "_p", F.lit(seed)), F.lit(n_bg)))
+    perm = rows.withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
+    perm = perm.withColumn("_bg", F.pmod(F.xxhash64(key, "_rid", "_p", F.lit(seed)), F.lit(n_bg)))
     # permutation order: features sorted by a hash of (row, permutation, feature)
     order = F.array_sort(F.array(*[
-        F.struct(F.xxhash64(F.col(key), F.col("_p"), F.lit(i), F.lit(seed)).alias("h"), F.lit(i).alias("f"))
+        F.struct(F.xxhash64(F.col(key), F.col("_rid"), F.col("_p"), F.lit(i), F.lit(seed)).alias("h"),
+                 F.lit(i).alias("f"))
         for i in range(nf)]))
     perm = perm.withColumn("_order", F.transform(order, lambda s: s["f"]))
     j = perm.join(F.broadcast(bg), "_bg")
@@ -47,18 +53,18 @@ def shapley(model, rows: DataFrame, background: DataFrame, features: list[str],
         cols[f"_in_{f}"] = F.when(pos <= F.col("_s"), F.col(f)).otherwise(F.col(f"_z_{f}")).cast("double")
     coal = coal.withColumns(cols)
     vec = VectorAssembler(inputCols=[f"_in_{f}" for f in features], outputCol="features",
-                          handleInvalid="keep").transform(coal.select(key, "_p", "_s", "_order", *cols.keys()))
-    scored = model.transform(vec).select(key, "_p", "_s", "_order", "prediction")
-    w = Window.partitionBy(key, "_p").orderBy("_s")
+                          handleInvalid="keep").transform(coal.select("_rid", "_p", "_s", "_order", *cols.keys()))
+    scored = model.transform(vec).select("_rid", "_p", "_s", "_order", "prediction")
+    w = Window.partitionBy("_rid", "_p").orderBy("_s")
     diffs = (scored.withColumn("_delta", F.col("prediction") - F.lag("prediction").over(w))
                    .where(F.col("_s") > 0)
                    .withColumn("_fi", F.element_at("_order", F.col("_s").cast("int"))))
-    att = diffs.groupBy(key, "_fi").agg((F.sum("_delta") / F.lit(permutations)).alias("attribution"))
+    att = diffs.groupBy("_rid", "_fi").agg((F.sum("_delta") / F.lit(permutations)).alias("attribution"))
     names = F.element_at(F.array(*[F.lit(f) for f in features]), F.col("_fi") + 1)
-    values = rows.select(key, F.explode(F.array(*[
+    values = rows.select("_rid", key, F.explode(F.array(*[
         F.struct(F.lit(i).alias("_fi"), F.col(f).cast("double").alias("value")) for i, f in enumerate(features)
-    ])).alias("v")).select(key, "v.*")
-    return (att.join(values, [key, "_fi"])
+    ])).alias("v")).select("_rid", key, "v.*")
+    return (att.join(values, ["_rid", "_fi"])
                .select(key, F.lit(model_name).alias("model_name"), names.alias("feature"), "value", "attribution"))
 
 
