@@ -28,6 +28,7 @@ class CompareConfig:
     test_ratio: float = 0.2
     val_ratio: float = 0.2
     cap_quantile: float = 0.99
+    cap_fit_on: str = "all"          # "all" as the reference (Q2) or "train": no future rows in the threshold
     positive_only: bool = False
     drop_missing_weather: bool = False
     cutoff: str | None = None
@@ -58,7 +59,10 @@ def prepare_requests(df: DataFrame, cfg: CompareConfig) -> tuple[DataFrame, floa
     if cfg.positive_only:
         df = clean.positive_only(df)
     df = persist_table(df, "prepared")
-    kept, t = clean.remove_above_quantile(df, "RESPONSE_TIME_DAYS", cfg.cap_quantile, stable=True)
+    if cfg.cap_fit_on == "train":
+        kept, t = df, None            # the threshold is fitted after the split (``split_rows``)
+    else:
+        kept, t = clean.remove_above_quantile(df, "RESPONSE_TIME_DAYS", cfg.cap_quantile, stable=True)
     if cfg.drop_missing_weather:
         kept, _ = clean.drop_missing_weather(kept)
     return kept, t
@@ -77,7 +81,31 @@ def split_rows(df: DataFrame, cfg: CompareConfig) -> tuple[DataFrame, DataFrame]
         train = split.rank_by_time(train.drop("split"))
         return train, test
     s = split.chronological_split(df, cfg.test_ratio, cfg.val_ratio)
-    return s.where(F.col("split") == "train"), s.where(F.col("split") == "test")
+    train, test = s.where(F.col("split") == "train"), s.where(F.col("split") == "test")
+    if cfg.cap_fit_on == "train":
+        # threshold from the training slice only, applied to every slice
+        _, t = clean.remove_above_quantile(train, "RESPONSE_TIME_DAYS", cfg.cap_quantile)
+        keep = F.col("RESPONSE_TIME_DAYS") <= F.lit(t)
+        train, test = train.where(keep), test.where(keep)
+    return train, test
+
+
+def load_and_split(spark, path: str, sample_size: int | None = 5000, use_validation: bool = True,
+                   seed: int = 42) -> tuple[DataFrame, ...]:
+    """Request CSV (strict date parse) -> response days -> known target
+    -> P99 removal -> optional exact seeded sample -> chronological
+    60/20/20 (train, val, test) or 80/20 (train, test) split."""
+    df = clean.with_response_time(files.load_requests(spark, path, strict=True))
+    df = clean.keep_columns(df)
+    if "SR_NUMBER" not in df.columns:
+        df = df.withColumn("SR_NUMBER", F.sha2(F.to_json(F.struct(*df.columns)), 256))
+    df = persist_table(clean.drop_null(df, ["RESPONSE_TIME_DAYS"]), "loaded")
+    kept, _ = clean.remove_above_quantile(df, stable=True)
+    if sample_size is not None:
+        kept = split.exact_sample(kept, sample_size, seed)
+    s = split.chronological_split(kept, 0.2, 0.2 if use_validation else 0.0)
+    parts = ["train", "val", "test"] if use_validation else ["train", "test"]
+    return tuple(s.where(F.col("split") == p) for p in parts)
 
 
 def compare_models(requests: DataFrame, cfg: CompareConfig | None = None,

@@ -54,3 +54,33 @@ def test_ablation_and_variance(req):
     assert v["summary"].count() == 3
     assert v["ttests"].count() == 3
     assert v["attribution"].count() == 3 * 6
+
+
+def test_load_and_split_and_train_fitted_cap(spark, tmp_path):
+    import datetime as dt
+    lines = ["SR_NUMBER,SR_TYPE,ORIGIN,CREATED_DATE,CLOSED_DATE,ZIP_CODE,CREATED_HOUR,CREATED_DAY_OF_WEEK,CREATED_MONTH,LATITUDE,LONGITUDE"]
+    base = dt.datetime(2020, 1, 1)
+    for i in range(40):
+        c = base + dt.timedelta(hours=7 * i)
+        d = c + dt.timedelta(hours=3 + i)
+        lines.append(f"{i},T{i % 3},web,{c.strftime('%m/%d/%Y %I:%M:%S %p')},{d.strftime('%m/%d/%Y %I:%M:%S %p')},1,0,0,1,,")
+    p = tmp_path / "r.csv"
+    p.write_text("\n".join(lines) + "\n")
+    tr, va, te = jobs.load_and_split(spark, str(p), sample_size=None)
+    assert (tr.count(), va.count(), te.count()) == (25, 7, 7)   # 39 rows after P99 removal: int(39 * .2) = 7
+    tr2, te2 = jobs.load_and_split(spark, str(p), sample_size=20, use_validation=False)
+    assert (tr2.count(), te2.count()) == (16, 4)
+    req = jobs.clean.with_response_time(jobs.files.load_requests(spark, str(p)))
+    cfg = jobs.CompareConfig(cap_fit_on="train")
+    rows, t = jobs.prepare_requests(req, cfg)
+    assert t is None and rows.count() == 40
+    a, b = jobs.split_rows(rows, cfg)
+    assert a.count() == 24 - 1 and b.count() == 0   # every test row lies above the train P99
+
+
+def test_linear_pipeline_without_columns(spark):
+    from pyspark.ml.linalg import Vectors
+    from resolvr.operators import models as md
+    df = spark.createDataFrame([(Vectors.dense([float(i)]), 2.0 * i) for i in range(10)], ["features", "label"])
+    m = md.fit(md.linear_pipeline([], []), df)
+    assert abs(m.stages[-1].coefficients[0] - 2.0) < 1e-6
