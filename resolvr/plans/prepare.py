@@ -18,8 +18,15 @@ from ..sources.tables import requests_from_tables, weather_from_tables
 _MEMO: dict = {}
 
 
+def _app_id(spark: SparkSession) -> str:
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001 - sessions without a local context
+        return spark.conf.get("spark.app.id", str(id(spark)))
+
+
 def _memo(spark: SparkSession, key: tuple, build):
-    k = (spark.sparkContext.applicationId,) + key
+    k = (_app_id(spark),) + key
     if k not in _MEMO:
         _MEMO[k] = build()
     return _MEMO[k]
@@ -31,7 +38,10 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return weather_from_tables(spark, sf_dir)
+    """Daily weather (one row per date), stored once: the unique-date and
+    broadcast-size checks of the join then read a small table instead of
+    re-deriving it from ``orders``."""
+    return _memo(spark, ("weather", sf_dir), lambda: persist_table(weather_from_tables(spark, sf_dir), "weather"))
 
 
 def eda_frame(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,8 +23,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def key(name: str):
+    """Register ``fn`` as a driver key. Timestamps are NTZ; the response-time
+    arithmetic goes through the session zone, so every key pins it to UTC
+    (no daylight-saving gaps)."""
     def deco(fn):
-        QUERIES[name] = fn
+        def run(spark, sf_dir):
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return fn(spark, sf_dir)
+        run.__name__ = fn.__name__
+        run.__doc__ = fn.__doc__
+        QUERIES[name] = run
         return fn
     return deco
 
@@ -204,10 +212,10 @@ def _baseline_key(idx: int):
     return q
 
 
-QUERIES["baseline_global"] = _baseline_key(0)
-QUERIES["baseline_type"] = _baseline_key(1)
-QUERIES["baseline_zip"] = _baseline_key(2)
-QUERIES["baseline_type_zip"] = _baseline_key(3)
+key("baseline_global")(_baseline_key(0))
+key("baseline_type")(_baseline_key(1))
+key("baseline_zip")(_baseline_key(2))
+key("baseline_type_zip")(_baseline_key(3))
 
 
 @key("baseline_metrics")

@@ -55,7 +55,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     folder; a cluster session without a shared folder is an error, since a
     machine-local folder would not survive the loss of that machine.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - no local context: the conf must name the folder
+        conf = spark.conf.get("spark.checkpoint.dir", None)
+        if not conf:
+            raise RuntimeError("spark.checkpoint.dir is not set; point it at a shared folder")
+        return conf
     current = sc.getCheckpointDir()
     if current:
         return current
