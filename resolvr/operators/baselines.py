@@ -22,9 +22,10 @@ BASELINES = [
 ]
 
 
-def global_mean(train: DataFrame, target: str = "RESPONSE_TIME_DAYS") -> DataFrame:
-    """One-row table with the training mean (A1)."""
-    return train.agg(F.avg(target).alias("_global_mean"))
+def global_mean(train: DataFrame, target: str = "RESPONSE_TIME_DAYS"):
+    """The training mean as a scalar subquery column (A1): computed once by
+    its own aggregate, then inlined as a value."""
+    return train.agg(F.avg(target)).scalar()
 
 
 def group_means(train: DataFrame, keys: list[str], target: str = "RESPONSE_TIME_DAYS",
@@ -38,13 +39,11 @@ def mean_lookup(test: DataFrame, train: DataFrame, keys: list[str],
     """Prediction = training mean of the row's key group, else the global
     mean (J2 for one key, J3 for several, A1 for none)."""
     g = global_mean(train, target)
-    base = test.crossJoin(F.broadcast(g))   # one row
     if not keys:
-        return base.withColumnRenamed("_global_mean", out)
+        return test.withColumn(out, g)
     m = group_means(train, keys, target)
-    j = base.join(m, on=keys, how="left")
-    return (j.withColumn(out, F.coalesce(F.col("_group_mean"), F.col("_global_mean")))
-             .drop("_group_mean", "_global_mean"))
+    j = test.join(m, on=keys, how="left")
+    return j.withColumn(out, F.coalesce(F.col("_group_mean"), g)).drop("_group_mean")
 
 
 def baseline_table(test: DataFrame, train: DataFrame, target: str = "RESPONSE_TIME_DAYS",
@@ -52,17 +51,17 @@ def baseline_table(test: DataFrame, train: DataFrame, target: str = "RESPONSE_TI
     """All baselines as columns BASELINE_PREDICTION_DAYS_i of one table (A3):
     one scan of the test rows, one small join per key set."""
     g = global_mean(train, target)
-    out = test.crossJoin(F.broadcast(g))
+    out = test
     for i, (_, keys) in enumerate(baselines):
         col = f"BASELINE_PREDICTION_DAYS_{i}"
         if not keys:
-            out = out.withColumn(col, F.col("_global_mean"))
+            out = out.withColumn(col, g)
             continue
         m = group_means(train, keys, target, out="_m")
         out = (out.join(m, on=keys, how="left")
-                  .withColumn(col, F.coalesce(F.col("_m"), F.col("_global_mean")))
+                  .withColumn(col, F.coalesce(F.col("_m"), g))
                   .drop("_m"))
-    return out.drop("_global_mean")
+    return out
 
 
 def baseline_predictions(test: DataFrame, train: DataFrame, key: str = "SR_NUMBER",

@@ -76,12 +76,11 @@ def improvement_over_baseline(metrics: DataFrame, marker: str = "Baseline") -> D
 
 def ablation_impact(metrics: DataFrame, reference: str = "Full_Model") -> DataFrame:
     """MAE change and percent change of every other row vs the reference
-    row (A30). The reference row is one row, joined as a broadcast."""
-    ref = metrics.where(F.col("model_name") == reference).select(F.col("mae").alias("_ref_mae"))
-    j = metrics.where(F.col("model_name") != reference).crossJoin(F.broadcast(ref))
-    return j.select("model_name", "mae",
-                    (F.col("mae") - F.col("_ref_mae")).alias("mae_impact"),
-                    ((F.col("mae") - F.col("_ref_mae")) / F.col("_ref_mae") * 100.0).alias("pct_change"))
+    row (A30); the reference MAE is a scalar subquery."""
+    ref = metrics.where(F.col("model_name") == reference).agg(F.first("mae")).scalar()
+    j = metrics.where(F.col("model_name") != reference)
+    return j.select("model_name", "mae", (F.col("mae") - ref).alias("mae_impact"),
+                    ((F.col("mae") - ref) / ref * 100.0).alias("pct_change"))
 
 
 def union_results(frames: list[DataFrame]) -> DataFrame:

@@ -48,21 +48,20 @@ def histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
     are a grouped count (partial aggregation), bins come from ``range``."""
     x = F.col(col).cast("double")
     vals = df.select(x.alias("_x")).where(F.col("_x").isNotNull())
-    rng = vals.agg(F.min("_x").alias("_mn"), F.max("_x").alias("_mx"))
-    rng = rng.select(
-        F.when(F.col("_mn") == F.col("_mx"), F.col("_mn") - 0.5).otherwise(F.col("_mn")).alias("_lo"),
-        F.when(F.col("_mn") == F.col("_mx"), F.col("_mx") + 0.5).otherwise(F.col("_mx")).alias("_hi"))
-    b = F.least(F.floor((F.col("_x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.lit(bins)),
-                F.lit(bins - 1))
-    counts = (vals.crossJoin(F.broadcast(rng))
-                  .groupBy(b.alias("bucket")).agg(F.count(F.lit(1)).alias("n")))
+    # range of the values as scalar subqueries (one aggregate each, inlined)
+    mn = vals.agg(F.min("_x")).scalar()
+    mx = vals.agg(F.max("_x")).scalar()
+    lo = F.when(mn == mx, mn - 0.5).otherwise(mn)
+    hi = F.when(mn == mx, mx + 0.5).otherwise(mx)
+    b = F.least(F.floor((F.col("_x") - lo) / (hi - lo) * F.lit(bins)), F.lit(bins - 1))
+    counts = vals.groupBy(b.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     spark = df.sparkSession
-    allb = spark.range(bins).withColumnRenamed("id", "bucket").crossJoin(F.broadcast(rng))
-    width = (F.col("_hi") - F.col("_lo")) / F.lit(bins)
+    allb = spark.range(bins).withColumnRenamed("id", "bucket")
+    width = (hi - lo) / F.lit(bins)
     return (allb.join(counts, "bucket", "left")
                 .select("bucket",
-                        (F.col("_lo") + F.col("bucket") * width).alias("bin_start"),
-                        (F.col("_lo") + (F.col("bucket") + 1) * width).alias("bin_end"),
+                        (lo + F.col("bucket") * width).alias("bin_start"),
+                        (lo + (F.col("bucket") + 1) * width).alias("bin_end"),
                         F.coalesce(F.col("n"), F.lit(0)).alias("n")))
 
 
@@ -77,11 +76,9 @@ def hexbin_mean(df: DataFrame, x: str = "LONGITUDE", y: str = "LATITUDE",
     """Mean value and count per hexagonal cell; empty cells omitted."""
     pts = df.select(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"),
                     F.col(value).cast("double").alias("_v")).dropna()
-    ext = pts.agg(F.min("_x").alias("_xmin"), F.max("_x").alias("_xmax"),
-                  F.min("_y").alias("_ymin"), F.max("_y").alias("_ymax"))
-    cell = sf.hex_cell(F.col("_x"), F.col("_y"), F.col("_xmin"), F.col("_xmax"),
-                       F.col("_ymin"), F.col("_ymax"), gridsize)
-    t = pts.crossJoin(F.broadcast(ext)).withColumn("c", cell)
+    ext = [pts.agg(f(c)).scalar() for f, c in ((F.min, "_x"), (F.max, "_x"), (F.min, "_y"), (F.max, "_y"))]
+    cell = sf.hex_cell(F.col("_x"), F.col("_y"), *ext, gridsize)
+    t = pts.withColumn("c", cell)
     return (t.groupBy("c.lattice", "c.i", "c.j")
              .agg(F.first("c.cx").alias("center_x"), F.first("c.cy").alias("center_y"),
                   F.avg("_v").alias("mean_value"), F.count(F.lit(1)).alias("n_points")))
@@ -93,8 +90,8 @@ def target_summary(df: DataFrame, target: str = "RESPONSE_TIME_DAYS", stable: bo
     g = df.agg(F.avg(y).alias("mean"), F.stddev_samp(y).alias("std"),
                sf.adjusted_skewness(y).alias("skew"), F.min(y).alias("min"),
                F.max(y).alias("max"), F.count(y).alias("n"))
-    med = exact_quantiles(df, target, [0.5], stable=stable).select(F.col("value").alias("median"))
-    return g.crossJoin(med)
+    med = exact_quantiles(df, target, [0.5], stable=stable).select("value").scalar()
+    return g.withColumn("median", med)
 
 
 def correlation_matrix(df: DataFrame, features: list[str]) -> DataFrame:

@@ -101,7 +101,7 @@ def timestamp_parse_lenient(spark, d):
 def string_null_code(spark, d):
     j = joins.weather_join(pp.requests(spark, d), pp.weather(spark, d))
     w = pp.weather(spark, d).select(F.col("date").alias("_wd"))
-    j2 = j.join(F.broadcast(w), F.col("CREATED_DAY") == F.col("_wd"), "left")
+    j2 = j.join(joins.bounded_broadcast(w), F.col("CREATED_DAY") == F.col("_wd"), "left")
     return j2.select("SR_NUMBER", lf.null_code("ZIP_CODE").alias("ZIP_CODE_TEXT"),
                      lf.null_code(F.col("_wd")).alias("WEATHER_DATE_TEXT"))
 
