@@ -65,6 +65,14 @@ def t_two_sided_p(t, dof) -> Column:
     return F.when(t.isNull() | (nu < 1), F.lit(None).cast("double")).otherwise(F.lit(1.0) - a)
 
 
+def exact_avg(c) -> Column:
+    """Mean whose value does not depend on the partitioning: the sum runs in
+    ``decimal(38,18)`` (exact, so any merge order gives the same total) and
+    is rounded back to double once. A double sum can land a hair either side
+    of a value such as 538.3046875, which then rounds differently."""
+    return F.avg(_col(c).cast("decimal(38,18)")).cast("double")
+
+
 def adjusted_skewness(c) -> Column:
     """Sample skewness with the bias correction pandas / SQL engines use:
     g1 * sqrt(n (n-1)) / (n-2), where Spark's ``skewness`` is g1."""

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stats import exact_avg
+
 # Baseline names and their key sets.
 BASELINES = [
     ("Baseline_0_Global", []),
@@ -25,13 +27,13 @@ BASELINES = [
 def global_mean(train: DataFrame, target: str = "RESPONSE_TIME_DAYS"):
     """The training mean as a scalar subquery column (A1): computed once by
     its own aggregate, then inlined as a value."""
-    return train.agg(F.avg(target)).scalar()
+    return train.agg(exact_avg(target)).scalar()
 
 
 def group_means(train: DataFrame, keys: list[str], target: str = "RESPONSE_TIME_DAYS",
                 out: str = "_group_mean") -> DataFrame:
     """Mean of the target per key combination (A2)."""
-    return train.groupBy(*keys).agg(F.avg(target).alias(out))
+    return train.groupBy(*keys).agg(exact_avg(target).alias(out))
 
 
 def mean_lookup(test: DataFrame, train: DataFrame, keys: list[str],

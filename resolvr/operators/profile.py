@@ -22,7 +22,7 @@ def monthly_trend(df: DataFrame, time_col: str = "CREATED_DATE", target: str = "
                   stable: bool = False) -> DataFrame:
     """Per month: mean, exact median, sample std, and mean -/+ std (A5)."""
     m = df.select(tf.month_start(time_col).alias("month_start"), F.col(target).alias("_y"))
-    g = m.groupBy("month_start").agg(F.avg("_y").alias("mean"), F.stddev_samp("_y").alias("std"))
+    g = m.groupBy("month_start").agg(sf.exact_avg("_y").alias("mean"), F.stddev_samp("_y").alias("std"))
     med = (exact_quantiles(m, "_y", [0.5], by=["month_start"], stable=stable)
            .select("month_start", F.col("value").alias("median")))
     return (g.join(med, "month_start", "left")
@@ -32,7 +32,7 @@ def monthly_trend(df: DataFrame, time_col: str = "CREATED_DATE", target: str = "
 
 def mean_by(df: DataFrame, key: str, target: str = "RESPONSE_TIME_DAYS") -> DataFrame:
     """Mean target per key value (A6 weekday, A7 hour)."""
-    return df.groupBy(key).agg(F.avg(target).alias("mean_days"))
+    return df.groupBy(key).agg(sf.exact_avg(target).alias("mean_days"))
 
 
 def weekday_trend(df: DataFrame, key: str = "CREATED_DAY_OF_WEEK", target: str = "RESPONSE_TIME_DAYS") -> DataFrame:

@@ -56,10 +56,10 @@ split2 AS (SELECT r.*, CASE WHEN row_rank <= n - n_test THEN 'train' ELSE 'test'
            FROM ranked r, sizes),
 train AS (SELECT * FROM split3 WHERE split = 'train'),
 test AS (SELECT * FROM split3 WHERE split = 'test'),
-gm AS (SELECT avg(RESPONSE_TIME_DAYS) AS g FROM train),
-m_type AS (SELECT SR_TYPE, avg(RESPONSE_TIME_DAYS) AS m FROM train GROUP BY SR_TYPE),
-m_zip AS (SELECT ZIP_CODE, avg(RESPONSE_TIME_DAYS) AS m FROM train GROUP BY ZIP_CODE),
-m_tz AS (SELECT SR_TYPE, ZIP_CODE, avg(RESPONSE_TIME_DAYS) AS m FROM train GROUP BY SR_TYPE, ZIP_CODE),
+gm AS (SELECT CAST(avg(CAST(RESPONSE_TIME_DAYS AS DECIMAL(38,18))) AS DOUBLE) AS g FROM train),
+m_type AS (SELECT SR_TYPE, CAST(avg(CAST(RESPONSE_TIME_DAYS AS DECIMAL(38,18))) AS DOUBLE) AS m FROM train GROUP BY SR_TYPE),
+m_zip AS (SELECT ZIP_CODE, CAST(avg(CAST(RESPONSE_TIME_DAYS AS DECIMAL(38,18))) AS DOUBLE) AS m FROM train GROUP BY ZIP_CODE),
+m_tz AS (SELECT SR_TYPE, ZIP_CODE, CAST(avg(CAST(RESPONSE_TIME_DAYS AS DECIMAL(38,18))) AS DOUBLE) AS m FROM train GROUP BY SR_TYPE, ZIP_CODE),
 p0 AS (SELECT t.SR_NUMBER, t.RESPONSE_TIME_DAYS AS y_true, g AS y_pred FROM test t, gm),
 p1 AS (SELECT t.SR_NUMBER, t.RESPONSE_TIME_DAYS AS y_true, coalesce(m.m, g) AS y_pred
        FROM test t LEFT JOIN m_type m ON t.SR_TYPE = m.SR_TYPE, gm),
@@ -224,10 +224,10 @@ asg AS (SELECT fo.fold, CASE WHEN row_rank <= train_end THEN 'train' ELSE 'val'
         FROM train tr JOIN folds fo ON tr.row_rank <= fo.val_end),
 ftr AS (SELECT * FROM asg WHERE role = 'train'),
 fva AS (SELECT * FROM asg WHERE role = 'val'),
-fg AS (SELECT fold, avg(RESPONSE_TIME_DAYS) AS g FROM ftr GROUP BY fold),
-f1 AS (SELECT fold, SR_TYPE, avg(RESPONSE_TIME_DAYS) AS m FROM ftr GROUP BY fold, SR_TYPE),
-f2 AS (SELECT fold, ZIP_CODE, avg(RESPONSE_TIME_DAYS) AS m FROM ftr GROUP BY fold, ZIP_CODE),
-f3 AS (SELECT fold, SR_TYPE, ZIP_CODE, avg(RESPONSE_TIME_DAYS) AS m FROM ftr GROUP BY fold, SR_TYPE, ZIP_CODE),
+fg AS (SELECT fold, CAST(avg(CAST(RESPONSE_TIME_DAYS AS DECIMAL(38,18))) AS DOUBLE) AS g FROM ftr GROUP BY fold),
+f1 AS (SELECT fold, SR_TYPE, CAST(avg(CAST(RESPONSE_TIME_DAYS AS DECIMAL(38,18))) AS DOUBLE) AS m FROM ftr GROUP BY fold, SR_TYPE),
+f2 AS (SELECT fold, ZIP_CODE, CAST(avg(CAST(RESPONSE_TIME_DAYS AS DECIMAL(38,18))) AS DOUBLE) AS m FROM ftr GROUP BY fold, ZIP_CODE),
+f3 AS (SELECT fold, SR_TYPE, ZIP_CODE, CAST(avg(CAST(RESPONSE_TIME_DAYS AS DECIMAL(38,18))) AS DOUBLE) AS m FROM ftr GROUP BY fold, SR_TYPE, ZIP_CODE),
 tp AS (
   SELECT '{BASELINES[0][0]}' AS model, v.fold, v.RESPONSE_TIME_DAYS AS y_true, g AS y_pred
     FROM fva v JOIN fg USING (fold)
@@ -292,10 +292,10 @@ FROM trials t JOIN qq USING (model) GROUP BY t.model, q1, median, q3, iqr"""
 def _monthly_sql() -> str:
     return w(REQ) + """
 SELECT CAST(date_trunc('month', CREATED_DATE) AS TIMESTAMP) AS month_start,
-       round(avg(RESPONSE_TIME_DAYS), 6) AS mean, round(quantile_cont(RESPONSE_TIME_DAYS, 0.5), 6) AS median,
+       round(CAST(avg(CAST(RESPONSE_TIME_DAYS AS DECIMAL(38,18))) AS DOUBLE), 6) AS mean, round(quantile_cont(RESPONSE_TIME_DAYS, 0.5), 6) AS median,
        round(stddev_samp(RESPONSE_TIME_DAYS), 6) AS std,
-       round(avg(RESPONSE_TIME_DAYS) - stddev_samp(RESPONSE_TIME_DAYS), 6) AS lower,
-       round(avg(RESPONSE_TIME_DAYS) + stddev_samp(RESPONSE_TIME_DAYS), 6) AS upper
+       round(CAST(avg(CAST(RESPONSE_TIME_DAYS AS DECIMAL(38,18))) AS DOUBLE) - stddev_samp(RESPONSE_TIME_DAYS), 6) AS lower,
+       round(CAST(avg(CAST(RESPONSE_TIME_DAYS AS DECIMAL(38,18))) AS DOUBLE) + stddev_samp(RESPONSE_TIME_DAYS), 6) AS upper
 FROM eda GROUP BY 1"""
 
 
@@ -304,7 +304,7 @@ def _dow_sql() -> str:
     return w(REQ) + f"""
 SELECT CAST(CREATED_DAY_OF_WEEK AS BIGINT) AS CREATED_DAY_OF_WEEK,
        CASE CREATED_DAY_OF_WEEK {names} END AS day_name,
-       round(avg(RESPONSE_TIME_DAYS), 6) AS mean_days FROM eda GROUP BY CREATED_DAY_OF_WEEK"""
+       round(CAST(avg(CAST(RESPONSE_TIME_DAYS AS DECIMAL(38,18))) AS DOUBLE), 6) AS mean_days FROM eda GROUP BY CREATED_DAY_OF_WEEK"""
 
 
 def _category_sql() -> str:
@@ -412,7 +412,7 @@ FROM b, bb"""
     q["monthly_trend"] = _monthly_sql()
     q["dow_trend"] = _dow_sql()
     q["hour_trend"] = w(REQ) + """
-SELECT CAST(CREATED_HOUR AS BIGINT) AS CREATED_HOUR, round(avg(RESPONSE_TIME_DAYS), 6) AS mean_days
+SELECT CAST(CREATED_HOUR AS BIGINT) AS CREATED_HOUR, round(CAST(avg(CAST(RESPONSE_TIME_DAYS AS DECIMAL(38,18))) AS DOUBLE), 6) AS mean_days
 FROM eda GROUP BY CREATED_HOUR"""
     q["histogram"] = w(REQ) + _hist_sql(",\nvals AS (SELECT RESPONSE_TIME_DAYS AS x FROM eda)")
     q["log_histogram"] = w(REQ) + _hist_sql(
