@@ -106,7 +106,7 @@ def removal_report(df: DataFrame, col: str, threshold: float) -> DataFrame:
         F.lit(threshold).alias("threshold"),
         F.count(F.lit(1)).alias("n_before"),
         F.count_if(F.col(col) > F.lit(threshold)).alias("n_removed"),
-    ).withColumn("pct_removed", F.col("n_removed") * 100.0 / F.col("n_before"))
+    ).withColumn("pct_removed", F.try_divide(F.col("n_removed") * 100.0, F.col("n_before")))
 
 
 def drop_missing_weather(df: DataFrame, cols=("temp_mean", "precipitation", "snowfall")):

@@ -66,7 +66,8 @@ def weather_coverage_by_year(joined: DataFrame, key: str = "SR_NUMBER", created:
     """Per year: requests, requests with weather, percent with weather."""
     g = joined.groupBy(tf.year_key(created).alias("year")).agg(
         F.count(key).alias("total_requests"), F.count("temp_mean").alias("with_weather"))
-    return g.withColumn("pct_with_weather", F.bround(F.col("with_weather") * 100.0 / F.col("total_requests"), 2))
+    return g.withColumn("pct_with_weather",
+                        F.bround(F.try_divide(F.col("with_weather") * 100.0, F.col("total_requests")), 2))
 
 
 def weather_flag_counts(joined: DataFrame) -> DataFrame:

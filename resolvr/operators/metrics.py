@@ -71,7 +71,7 @@ def improvement_over_baseline(metrics: DataFrame, marker: str = "Baseline") -> D
     return g.select(
         F.col("b.model_name").alias("best_model"), F.col("b.mae").alias("best_mae"),
         F.col("bb.model_name").alias("best_baseline"), F.col("bb.mae").alias("best_baseline_mae"),
-        ((F.col("bb.mae") - F.col("b.mae")) / F.col("bb.mae") * 100.0).alias("improvement_pct"))
+        (F.try_divide(F.col("bb.mae") - F.col("b.mae"), F.col("bb.mae")) * 100.0).alias("improvement_pct"))
 
 
 def ablation_impact(metrics: DataFrame, reference: str = "Full_Model") -> DataFrame:
@@ -80,7 +80,7 @@ def ablation_impact(metrics: DataFrame, reference: str = "Full_Model") -> DataFr
     ref = metrics.where(F.col("model_name") == reference).agg(F.first("mae")).scalar()
     j = metrics.where(F.col("model_name") != reference)
     return j.select("model_name", "mae", (F.col("mae") - ref).alias("mae_impact"),
-                    ((F.col("mae") - ref) / ref * 100.0).alias("pct_change"))
+                    (F.try_divide(F.col("mae") - ref, ref) * 100.0).alias("pct_change"))
 
 
 def union_results(frames: list[DataFrame]) -> DataFrame:

@@ -128,7 +128,7 @@ def null_counts(df: DataFrame) -> DataFrame:
     row = df.agg(*aggs)
     stack = ", ".join(f"'{c}', `{c}__nulls`" for c in cols)
     return (row.selectExpr("__rows", f"stack({len(cols)}, {stack}) AS (column_name, null_count)")
-               .withColumn("null_pct", F.col("null_count") * 100.0 / F.col("__rows"))
+               .withColumn("null_pct", F.try_divide(F.col("null_count") * 100.0, F.col("__rows")))
                .drop("__rows"))
 
 

@@ -230,3 +230,13 @@ def test_improvement_and_ablation(spark):
     assert r["best_model"] == "RF" and r["best_baseline"] == "Baseline_1" and r["improvement_pct"] == pytest.approx(20.0)
     a = {x["model_name"]: x["mae_impact"] for x in metrics.ablation_impact(m).collect()}
     assert a == {"Baseline_1": 1.0, "RF": -1.0}
+
+
+def test_reports_on_empty_input(spark):
+    e = spark.createDataFrame([], "RESPONSE_TIME_DAYS double, model_name string, mae double")
+    assert clean.removal_report(e, "RESPONSE_TIME_DAYS", 1.0).first()["pct_removed"] is None
+    assert profile.null_counts(e.select("RESPONSE_TIME_DAYS")).first()["null_pct"] is None
+    assert clean.remove_above_quantile(e)[1] is None
+    m = spark.createDataFrame([("Baseline_0", 0.0), ("Full_Model", 0.0)], "model_name string, mae double")
+    assert metrics.improvement_over_baseline(m).first()["improvement_pct"] is None
+    assert metrics.ablation_impact(m).first()["pct_change"] is None
