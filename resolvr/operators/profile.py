@@ -73,15 +73,19 @@ def log_histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
 
 def hexbin_mean(df: DataFrame, x: str = "LONGITUDE", y: str = "LATITUDE",
                 value: str = "RESPONSE_TIME_DAYS", gridsize: int = 30) -> DataFrame:
-    """Mean value and count per hexagonal cell; empty cells omitted."""
+    """Mean value and count per hexagonal cell; empty cells omitted.
+    The mean is an exact decimal mean rounded once to 6 places, so a cell
+    whose mean sits on a rounding half-point gives one answer whatever the
+    partitioning (a double mean can land either side of it)."""
     pts = df.select(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"),
                     F.col(value).cast("double").alias("_v")).dropna()
-    ext = [pts.agg(f(c)).scalar() for f, c in ((F.min, "_x"), (F.max, "_x"), (F.min, "_y"), (F.max, "_y"))]
+    ext = list(pts.agg(F.min("_x"), F.max("_x"), F.min("_y"), F.max("_y")).first())
     cell = sf.hex_cell(F.col("_x"), F.col("_y"), *ext, gridsize)
     t = pts.withColumn("c", cell)
     return (t.groupBy("c.lattice", "c.i", "c.j")
              .agg(F.first("c.cx").alias("center_x"), F.first("c.cy").alias("center_y"),
-                  F.avg("_v").alias("mean_value"), F.count(F.lit(1)).alias("n_points")))
+                  F.round(F.avg(F.col("_v").cast("decimal(38,18)")), 6).cast("double").alias("mean_value"),
+                  F.count(F.lit(1)).alias("n_points")))
 
 
 def target_summary(df: DataFrame, target: str = "RESPONSE_TIME_DAYS", stable: bool = False) -> DataFrame:

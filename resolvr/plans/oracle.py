@@ -144,10 +144,15 @@ cells AS (SELECT v,
             CAST(CASE WHEN first THEN iy1 ELSE iy2 END AS BIGINT) AS j,
             CASE WHEN first THEN x0 + ix1 * sx ELSE x0 + (ix2 + 0.5) * sx END AS cx,
             CASE WHEN first THEN ymin + iy1 * sy ELSE ymin + (iy2 + 0.5) * sy END AS cy
-          FROM pick)
-SELECT CAST(lattice AS BIGINT) AS lattice, i, j, round(any_value(cx), 6) AS center_x,
-       round(any_value(cy), 6) AS center_y, round(avg(v), 6) AS mean_value, count(*) AS n_points
-FROM cells GROUP BY lattice, i, j""")
+          FROM pick),
+agg AS (SELECT lattice, i, j, any_value(cx) AS cx, any_value(cy) AS cy,
+               sum(CAST(v AS DECIMAL(38,18))) AS sd, count(*) AS n FROM cells GROUP BY lattice, i, j),
+ints AS (SELECT *, CAST(trunc(abs(sd)) AS HUGEINT) * CAST(1000000000000000000 AS HUGEINT)
+                   + CAST((abs(sd) - trunc(abs(sd))) * 1000000000000000000 AS HUGEINT) AS an,
+                 CAST(n AS HUGEINT) * CAST(1000000000000 AS HUGEINT) AS dn FROM agg)
+SELECT CAST(lattice AS BIGINT) AS lattice, i, j, round(cx, 6) AS center_x, round(cy, 6) AS center_y,
+       sign(sd) * CAST((2 * an + dn) // (2 * dn) AS DOUBLE) / 1000000.0 AS mean_value, n AS n_points
+FROM ints""")
 
 
 def _corr_sql() -> str:
