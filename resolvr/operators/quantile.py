@@ -35,13 +35,22 @@ from ..session import persist_table
 
 
 def _attach(rows: DataFrame, targets: DataFrame, by: list[str]) -> DataFrame:
-    """Rows inside their targets' intervals. Targets per group are few; for
-    the global case they are at most 2 x quantiles rows (broadcast)."""
+    """Rows inside their targets' intervals, as (_x, _t, lo, hi). Per group
+    this is an equi-join on the group keys. The global case has at most
+    2 x quantiles targets: their intervals are read as scalars and each row
+    picks the ones holding it from a literal array (no join)."""
     if by:
         j = rows.join(targets, on=by, how="inner")
-    else:
-        j = rows.crossJoin(F.broadcast(targets))
-    return j.where(F.col("_x").between(F.col("lo"), F.col("hi")))
+        return j.where(F.col("_x").between(F.col("lo"), F.col("hi")))
+    ts = targets.select("_t", "lo", "hi").collect()
+    if not ts:
+        return rows.where(F.lit(False)).select(
+            "_x", F.lit(0).cast("long").alias("_t"), F.lit(0.0).alias("lo"), F.lit(0.0).alias("hi"))
+    arr = F.array(*[F.struct(F.lit(int(t["_t"])).cast("long").alias("_t"),
+                             F.lit(float(t["lo"])).alias("lo"), F.lit(float(t["hi"])).alias("hi"))
+                    for t in ts])
+    hit = F.filter(arr, lambda s: F.col("_x").between(s["lo"], s["hi"]))
+    return rows.select("_x", F.explode(hit).alias("_s")).select("_x", "_s._t", "_s.lo", "_s.hi")
 
 
 def _level(rows: DataFrame, targets: DataFrame, by: list[str], buckets: int) -> DataFrame:

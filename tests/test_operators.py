@@ -36,6 +36,9 @@ def test_exact_quantiles_match_numpy(spark, buckets, final_rows):
             assert got[(g, q)] == pytest.approx(float(np.quantile(vals, q)), rel=1e-12, abs=1e-12)
     allv = np.array([v for _, v in rows])
     assert exact_quantile(df, "v", 0.5, buckets=buckets, final_rows=final_rows) == pytest.approx(float(np.quantile(allv, 0.5)))
+    glob = {r["q"]: r["value"] for r in exact_quantiles(df, "v", qs, buckets=buckets, final_rows=final_rows).collect()}
+    for q in qs:
+        assert glob[q] == pytest.approx(float(np.quantile(allv, q)), rel=1e-12, abs=1e-12)
 
 
 def test_global_rank_matches_sort_with_hot_day(spark):
