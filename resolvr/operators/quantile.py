@@ -22,35 +22,42 @@ task. Here the order statistics are found by a distributed selection:
 
 Every pass is a distributed aggregate over the narrow (group, value)
 projection, written once to the shared checkpoint folder so that all passes
-see the same values; the target state (targets x a few numbers) is written
-there between passes.
+see the same values. Per group, the target state (targets x a few numbers)
+is written there between passes; the global case has only 2 x quantiles
+targets, so their state stays on the driver as scalars and each pass
+returns at most ``buckets`` rows per target.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import persist_table
 
 
-def _attach(rows: DataFrame, targets: DataFrame, by: list[str]) -> DataFrame:
-    """Rows inside their targets' intervals, as (_x, _t, lo, hi). Per group
-    this is an equi-join on the group keys. The global case has at most
-    2 x quantiles targets: their intervals are read as scalars and each row
-    picks the ones holding it from a literal array (no join)."""
-    if by:
-        j = rows.join(targets, on=by, how="inner")
-        return j.where(F.col("_x").between(F.col("lo"), F.col("hi")))
-    ts = targets.select("_t", "lo", "hi").collect()
+def _attach_literal(rows: DataFrame, ts: list[tuple]) -> DataFrame:
+    """Rows inside the intervals of a few global targets ``(_t, lo, hi,
+    need)`` given as scalars: each row picks the targets holding it from a
+    literal array (no join)."""
     if not ts:
         return rows.where(F.lit(False)).select(
-            "_x", F.lit(0).cast("long").alias("_t"), F.lit(0.0).alias("lo"), F.lit(0.0).alias("hi"))
-    arr = F.array(*[F.struct(F.lit(int(t["_t"])).cast("long").alias("_t"),
-                             F.lit(float(t["lo"])).alias("lo"), F.lit(float(t["hi"])).alias("hi"))
-                    for t in ts])
+            "_x", F.lit(0).cast("long").alias("_t"), F.lit(0.0).alias("lo"), F.lit(0.0).alias("hi"),
+            F.lit(0).cast("long").alias("need"))
+    arr = F.array(*[F.struct(F.lit(int(t)).cast("long").alias("_t"), F.lit(float(lo)).alias("lo"),
+                             F.lit(float(hi)).alias("hi"), F.lit(int(need)).cast("long").alias("need"))
+                    for t, lo, hi, need in ts])
     hit = F.filter(arr, lambda s: F.col("_x").between(s["lo"], s["hi"]))
-    return rows.select("_x", F.explode(hit).alias("_s")).select("_x", "_s._t", "_s.lo", "_s.hi")
+    return rows.select("_x", F.explode(hit).alias("_s")).select("_x", "_s._t", "_s.lo", "_s.hi", "_s.need")
+
+
+def _attach(rows: DataFrame, targets: DataFrame, by: list[str]) -> DataFrame:
+    """Rows of each group inside their targets' intervals (equi-join on the
+    group keys)."""
+    j = rows.join(targets, on=by, how="inner")
+    return j.where(F.col("_x").between(F.col("lo"), F.col("hi")))
 
 
 def _level(rows: DataFrame, targets: DataFrame, by: list[str], buckets: int) -> DataFrame:
@@ -94,6 +101,8 @@ def exact_quantiles(df: DataFrame, col: str, qs: list[float], by: list[str] | No
     rows = df.select(*by, F.col(col).cast("double").alias("_x")).where(F.col("_x").isNotNull())
     if not stable:
         rows = persist_table(rows, "quantile_rows")
+    if not by:
+        return _global_quantiles(rows, qs, buckets, final_rows, max_levels)
     stats = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("_x").alias("mn"),
                                   F.max("_x").alias("mx"))
     specs = []
@@ -135,6 +144,53 @@ def exact_quantiles(df: DataFrame, col: str, qs: list[float], by: list[str] | No
     return out.select(*by, qmap.alias("q"), value.alias("value"))
 
 
+def _global_quantiles(rows: DataFrame, qs: list[float], buckets: int, final_rows: int,
+                      max_levels: int) -> DataFrame:
+    """Global case: the same selection, with the state of the 2 x quantiles
+    targets kept on the driver as scalars (no state tables between passes).
+    Each histogram pass returns at most ``buckets`` rows per target."""
+    spark = rows.sparkSession
+    st = rows.agg(F.count(F.lit(1)).alias("n"), F.min("_x").alias("mn"), F.max("_x").alias("mx")).first()
+    n = st["n"]
+    if not n:
+        return spark.createDataFrame([], "q double, value double")
+    targets, specs = [], []
+    for q in qs:
+        pos = float(q) * float(n - 1)
+        k0 = math.floor(pos)
+        specs.append((float(q), len(targets), len(targets) + 1, pos - k0))
+        for r in (k0, min(k0 + 1, n - 1)):
+            targets.append({"r": r, "lo": st["mn"], "hi": st["mx"], "off": 0, "cnt": n})
+    for _ in range(max_levels):
+        active = [i for i, t in enumerate(targets) if t["cnt"] > final_rows and t["lo"] < t["hi"]]
+        if not active:
+            break
+        j = _attach_literal(rows, [(i, targets[i]["lo"], targets[i]["hi"], 0) for i in active])
+        width = F.col("hi") - F.col("lo")
+        b = F.least(F.floor((F.col("_x") - F.col("lo")) / width * F.lit(buckets)), F.lit(buckets - 1))
+        hist: dict[int, list] = {}
+        for h in j.groupBy("_t", b.alias("_b")).agg(F.count(F.lit(1)).alias("c"), F.min("_x").alias("bmin"),
+                                                    F.max("_x").alias("bmax")).collect():
+            hist.setdefault(h["_t"], []).append(h)
+        for i in active:
+            t, before = targets[i], targets[i]["off"]
+            for h in sorted(hist.get(i, []), key=lambda h: h["_b"]):
+                if before <= t["r"] < before + h["c"]:
+                    t.update(lo=h["bmin"], hi=h["bmax"], off=before, cnt=h["c"])
+                    break
+                before += h["c"]
+    values = {i: t["lo"] for i, t in enumerate(targets) if t["lo"] == t["hi"]}
+    rest = [(i, t["lo"], t["hi"], t["r"] - t["off"]) for i, t in enumerate(targets) if t["lo"] < t["hi"]]
+    if rest:
+        g = _attach_literal(rows, rest).groupBy("_t", "need", "_x").agg(F.count(F.lit(1)).alias("c"))
+        w = Window.partitionBy("_t").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+        picked = (g.withColumn("cum", F.sum("c").over(w)).where(F.col("cum") > F.col("need"))
+                   .groupBy("_t").agg(F.min("_x").alias("value")).collect())
+        values.update({p["_t"]: p["value"] for p in picked})
+    out = [(q, values[i0] + (values[i1] - values[i0]) * frac) for q, i0, i1, frac in specs]
+    return spark.createDataFrame(out, "q double, value double")
+
+
 def exact_quantile(df: DataFrame, col: str, q: float, **kw) -> float | None:
     """Scalar exact quantile of the non-null values of ``col``."""
     rows = exact_quantiles(df, col, [q], **kw).collect()
