@@ -243,3 +243,17 @@ def test_reports_on_empty_input(spark):
     m = spark.createDataFrame([("Baseline_0", 0.0), ("Full_Model", 0.0)], "model_name string, mae double")
     assert metrics.improvement_over_baseline(m).first()["improvement_pct"] is None
     assert metrics.ablation_impact(m).first()["pct_change"] is None
+
+
+def test_spread_small_scan(spark):
+    from resolvr.sources.tables import read_table, spread_small_scan
+    slots = spark.sparkContext.defaultParallelism
+    li = read_table(spark, "/root/testdata/sf0.001", "lineitem").select("l_orderkey", "l_quantity")
+    spread = spread_small_scan(li)
+    # one row group -> one split; spread over the slots, same rows
+    assert li.rdd.getNumPartitions() < slots
+    assert spread.rdd.getNumPartitions() == slots
+    assert sorted(spread.collect()) == sorted(li.collect())
+    # an input that already has enough splits is returned as it is
+    wide = spark.range(0, 100, 1, slots + 2)
+    assert spread_small_scan(wide) is wide
