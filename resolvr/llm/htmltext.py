@@ -297,10 +297,13 @@ def training_pages(pages: DataFrame, html_col: str = "html", limit: int = TRAIN_
     """At most ``limit`` pages of at most 100,000 characters that mark an
     article, the same for any order and partitioning of the table."""
     source = F.col(f"`{html_col}`")
-    rows = pages.select(F.xxhash64(source).alias("h"), source.alias("html")) \
-        .where((F.length("html") <= 100_000) & source.rlike("(?i)<(article|main)[ >]")) \
-        .orderBy("h", "html").limit(limit).collect()
-    return [r["html"] for r in rows]
+    hashed = pages.select(F.xxhash64(source).alias("h"), source.alias("html")) \
+        .where((F.length("html") <= 100_000) & F.col("html").rlike("(?i)<(article|main)[ >]"))
+    # the hashes alone choose the pages, so no task sends pages that are not used
+    last = hashed.select("h").orderBy("h").limit(limit).agg(F.max("h")).first()[0]
+    if last is None:
+        return []
+    return [r["html"] for r in hashed.where(F.col("h") <= last).distinct().orderBy("h", "html").limit(limit).collect()]
 
 
 def main_text(pages: DataFrame, model: Model | None = None, html_col: str = "html", keep=("page_id", "url")) -> DataFrame:

@@ -12,7 +12,9 @@ beyond that are final as they are, so no task holds more than
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections import defaultdict
 
@@ -33,19 +35,30 @@ _TYPES = {"int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_()}
 _SCHEMA = pa.schema([(f.split()[0], _TYPES[f.split()[1]]) for f in PIECE.split(", ")])
 
 
+_SPACE = re.compile(r"[\s\x1c-\x1f]").search
+
+
 class WordIds(dict):
-    """Token ids (little-endian uint32 bytes) of text parts, looked up by the
-    part; at most ``limit`` parts are held, then the memo starts anew."""
+    """Token ids (little-endian uint32 bytes) of text parts. The first
+    ``limit`` parts are kept, which are mostly the frequent ones. A mark
+    behind letters and a line break between words are always token runs of
+    their own, so such parts are put together from what they consist of."""
 
-    def __init__(self, tokenizer, lead: str, limit: int = 400_000, longest: int = 48):
+    def __init__(self, encode, encode_letters, lead: str, limit: int = 700_000, longest: int = 48):
         super().__init__()
-        self.tokenizer, self.lead, self.limit, self.longest = tokenizer, lead, limit, longest
+        self.encode, self.encode_letters, self.lead = encode, encode_letters, lead
+        self.limit, self.longest, self.line_start = limit, longest, self
 
     def __missing__(self, part: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(self.lead + part, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(part) <= self.longest:
-            if len(self) >= self.limit:
-                self.clear()
+        if part.isalpha() and part < "\u0250":
+            ids = self.encode_letters(self.lead + part)
+        elif len(part) > 1 and part[-1] in ".,;:!?" and part[:-1].isalpha():
+            return self[part[:-1]] + self.encode(part[-1])
+        elif "\n" in part and all(lines := part.split("\n")) and not any(_SPACE(x) for x in lines):
+            return self[lines[0]] + b"".join([self.encode("\n") + self.line_start[x] for x in lines[1:]])
+        else:
+            ids = self.encode(self.lead + part)
+        if len(part) <= self.longest and len(self) < self.limit:
             self[part] = ids
         return ids
 
@@ -53,8 +66,10 @@ class WordIds(dict):
 class ByteLevelEncoder:
     """Ids of whole texts by a byte-level BPE tokenizer whose pre-tokenizer
     never joins text across a space that stands before a non-space: texts are
-    split there, and the ids of each part are looked up. Texts with a special
-    token, or with runs of white space, go to the tokenizer whole."""
+    split there, and the ids of each part are looked up. Words of Latin
+    letters are merged by the vocabulary's ranks directly (its ids are in
+    merge order, else the tokenizer does it); texts with a special token or
+    with runs of white space go to the tokenizer whole."""
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -63,15 +78,53 @@ class ByteLevelEncoder:
         self.tokenizer = Tokenizer.from_str(definition)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.irregular = regex.compile(r" (?:[\s\x1c-\x1f]|$)").search
-        self.first, self.rest = WordIds(self.tokenizer, ""), WordIds(self.tokenizer, " ")
+        marks: dict[str, bytes] = {}
+
+        def encode(part: str) -> bytes:
+            if len(part) == 1 and part in marks:
+                return marks[part]
+            ids = np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
+            if len(part) == 1:
+                marks[part] = ids
+            return ids
+
+        self.encode, letters = encode, merges_by_rank(definition) or encode
+        self.first, self.rest = WordIds(encode, letters, ""), WordIds(encode, letters, " ")
+        self.rest.line_start = self.first
 
     def __call__(self, text: str) -> bytes:
         if self.irregular(text) or any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return self.encode(text)
         first, *rest = text.split(" ")
         return (self.first[first] if first else b"") + b"".join(map(self.rest.__getitem__, rest))
 
 
+def merges_by_rank(definition: str):
+    """Ids of a run of letters (with or without a leading space) by the
+    ranks of the definition's own vocabulary; None where its ids are not in
+    the order of its merges."""
+    import tiktoken
+    model = json.loads(definition)["model"]
+    vocabulary, byte = model["vocab"], byte_of_char()
+    parts = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    order = [vocabulary.get(a + b, -1) for a, b in parts]
+    if order != sorted(order) or min(order, default=-1) < 256 or model.get("ignore_merges"):
+        return None
+    ranks = {bytes(map(byte.get, t)): i for t, i in vocabulary.items() if all(c in byte for c in t)}
+    ranks = {t: i for t, i in ranks.items() if len(t) == 1 or i >= 256 and i <= order[-1]}
+    single = tiktoken.Encoding("ranks", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+    return lambda text: np.array(single._encode_single_piece(text), "<u4").tobytes()
+
+
+def byte_of_char() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for:
+    printable Latin-1 characters for themselves, the other bytes in order
+    for the characters from 256 on."""
+    kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    spare = [b for b in range(256) if b not in set(kept)]
+    return {chr(b): b for b in kept} | {chr(256 + k): b for k, b in enumerate(spare)}
+
+
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     """(start, length) of the pieces of ``n`` ids: full ones, the first one
     with what is left over."""

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import SLICE_BYTES
+from .packing import byte_of_char
 
 _WORDS = re.compile(r"[^\W_]+|[^\w\s]|_")
 _WORD_START, _BEHIND = 0, 1
@@ -81,10 +82,7 @@ def byte_level_pieces(tokenizer_json: str) -> tuple[list[str], list[str]]:
     """Pieces from a byte-level vocabulary: those with a leading space begin
     a word, the others go on. Tokens that are not whole characters are left
     out, and so are those with white space inside."""
-    kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    spare = [b for b in range(256) if b not in set(kept)]
-    byte = {chr(b): b for b in kept} | {chr(256 + k): b for k, b in enumerate(spare)}
-    first, later = [], []
+    byte, first, later = byte_of_char(), [], []
     for token in json.loads(tokenizer_json)["model"]["vocab"]:
         try:
             text = bytes(byte[c] for c in token).decode()
