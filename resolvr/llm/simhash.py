@@ -3,14 +3,15 @@
 Two 64-bit fingerprints that differ in at most ``2 * h`` bits share a variant
 that is at most ``h`` bit flips away from both; and all fingerprints that share
 such a variant differ in at most ``2 * h`` bits pairwise, so a bucket needs no
-pairs: linking each member to the smallest one keeps every component.
+pairs: linking each member to the one before it keeps every component.
 
 A full ball (2,081 variants for h = 2) for every fingerprint would mostly hold
 variants that nothing else reaches. One 32-bit half of a linked pair differs in
 at most ``h`` bits, so the same meeting is first made on the halves (66 short
-variants each); the full variants are then emitted for exactly those half
-variants that another fingerprint reached too. No link can be lost by this:
-a pair's meeting point has such a half by construction.
+variants each). Half variants that two or three fingerprints share give their
+pairs at once; for those that more share, the full variants with that half are
+emitted. No link can be lost by this: a pair's meeting point has such a half by
+construction.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..session import persist_table
 from .common import as_bytes, keyed
@@ -74,14 +76,6 @@ def _high(fp):
     return F.shiftrightunsigned(fp, 32)
 
 
-def _shared(rows: DataFrame, key: list[str]) -> DataFrame:
-    """Rows whose key another fingerprint has too, with the key's smallest
-    fingerprint ``lo``. Minima combine before the shuffle, and the join back
-    can be split by the adaptive skew join."""
-    ends = rows.groupBy(*key).agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo < hi").drop("hi")
-    return rows.join(ends, key)
-
-
 def links(fps: DataFrame, max_distance: int = 4) -> DataFrame:
     """Edges ``a, b`` between distinct fingerprints (column ``fp``) that keep
     every component of "differ in at most ``max_distance`` bits"."""
@@ -94,21 +88,35 @@ def links(fps: DataFrame, max_distance: int = 4) -> DataFrame:
     halves = fps.select("fp", F.explode(F.array(F.lit(0), F.lit(1))).alias("side")).select("fp", "side", flip).select(
         "fp", F.when(F.col("side") == 0, _low(fp)).otherwise(_high(fp)).bitwiseXOR(F.col("m"))
         .bitwiseOR(F.shiftleft(F.col("side").cast("bigint"), 32)).alias("half"))
-    met = _shared(halves, ["half"]).select("fp", F.shiftrightunsigned("half", 32).alias("side"),
-                                           _low(F.col("half")).alias("half"))
+    # ends and exclusive-or name all members of a bucket of two or three: they are compared as they are
+    met = persist_table(halves.groupBy("half").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"),
+                                                   F.bit_xor("fp").alias("x"), F.count("*").alias("n"))
+                        .where("n > 1"), "halves")
+    third = F.col("x").bitwiseXOR(F.col("lo")).bitwiseXOR(F.col("hi"))
+    pair = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    few = met.where("n <= 3").select(F.explode(
+        F.when(F.col("n") == 2, F.array(pair(F.col("lo"), F.col("hi"))))
+        .otherwise(F.array(pair(F.col("lo"), F.col("hi")), pair(F.col("lo"), third), pair(third, F.col("hi"))))).alias("p")) \
+        .select("p.a", "p.b").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_distance)
+    # larger buckets meet on full variants; a sort-merge join, as either side grows with the corpus
+    many = met.where("n > 3").select("half").hint("merge")
+    on = halves.join(many, "half").select("fp", F.shiftrightunsigned("half", 32).alias("side"),
+                                          _low(F.col("half")).alias("half"))
     own, other = [F.when(F.col("side") == 0, x).otherwise(y) for x, y in
                   ((_low(fp), _high(fp)), (_high(fp), _low(fp)))]
     used = F.bit_count(own.bitwiseXOR(F.col("half")))
     spare = F.lit(None)
     for r in range(near + 1):
         spare = F.when(used == r, F.array(*[F.lit(m).cast("bigint") for m in _masks(32, h - r)])).otherwise(spare)
-    full = met.select("fp", "side", "half", other.alias("other"), F.explode(spare).alias("m")).select(
+    full = on.select("fp", "side", "half", other.alias("other"), F.explode(spare).alias("m")).select(
         "fp", F.when(F.col("side") == 0, F.shiftleft(F.col("other").bitwiseXOR(F.col("m")), 32)
                      .bitwiseOR(F.col("half")))
         .otherwise(F.shiftleft(F.col("half"), 32).bitwiseOR(F.col("other").bitwiseXOR(F.col("m")))).alias("variant"))
-    return _shared(full, ["variant"]).where("fp <> lo") \
-        .where(F.bit_count(fp.bitwiseXOR(F.col("lo"))) <= max_distance) \
-        .select(fp.alias("a"), F.col("lo").alias("b")).distinct()
+    # at most 2,081 fingerprints (h = 2) are as near to one variant, so a bucket's window is bounded
+    chain = full.withColumn("b", F.lag("fp").over(Window.partitionBy("variant").orderBy("fp"))) \
+        .where("b is not null and b <> fp").select(fp.alias("a"), "b") \
+        .where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_distance)
+    return few.union(chain).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4,
