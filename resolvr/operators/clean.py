@@ -9,10 +9,15 @@ from pyspark.sql import types as T
 from ..functions import time as tf
 from .quantile import exact_quantile
 
-# The allow-list of request columns kept by the cleaning step.
+# The allow-list of request columns kept by the cleaning step (P5).
 KEEP_COLUMNS = ["SR_TYPE", "ORIGIN", "CREATED_DATE", "CLOSED_DATE", "ZIP_CODE",
                 "CREATED_HOUR", "CREATED_DAY_OF_WEEK", "CREATED_MONTH",
-                "RESPONSE_TIME_DAYS"]
+                "LATITUDE", "LONGITUDE", "RESPONSE_TIME", "RESPONSE_TIME_DAYS",
+                "RESPONSE_TIME_CATEGORY"]
+# The columns that loading for a split requires.
+REQUIRED_COLUMNS = ["SR_TYPE", "ORIGIN", "CREATED_DATE", "CLOSED_DATE", "ZIP_CODE",
+                    "CREATED_HOUR", "CREATED_DAY_OF_WEEK", "CREATED_MONTH",
+                    "RESPONSE_TIME_DAYS"]
 
 
 def convert_types(df: DataFrame, date_cols=("CREATED_DATE", "CLOSED_DATE"),
@@ -72,9 +77,9 @@ def dropped_columns(df: DataFrame, keep=KEEP_COLUMNS) -> list[str]:
     return [c for c in df.columns if c not in keep]
 
 
-def select_required(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Projection that fails on a missing column."""
-    return df.select(*cols)
+def select_required(df: DataFrame, cols: list[str] = REQUIRED_COLUMNS, key: str = "SR_NUMBER") -> DataFrame:
+    """The row key and the required columns; a missing one raises."""
+    return df.select(key, *cols)
 
 
 def drop_null(df: DataFrame, cols: list[str]) -> DataFrame:

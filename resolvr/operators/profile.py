@@ -71,6 +71,15 @@ def log_histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
     return histogram(t, "log1p_value", bins)
 
 
+def _widened(lo: float | None, hi: float | None) -> tuple[float, float]:
+    """An extent that is not empty: a single value grows by a tenth to both
+    sides (0.1 around zero), no value at all stands for 0 to 1."""
+    if lo is None:
+        return 0.0, 1.0
+    grow = 0.0 if lo != hi else 0.1 * abs(lo) or 0.1
+    return lo - grow, hi + grow
+
+
 def hexbin_mean(df: DataFrame, x: str = "LONGITUDE", y: str = "LATITUDE",
                 value: str = "RESPONSE_TIME_DAYS", gridsize: int = 30) -> DataFrame:
     """Mean value and count per hexagonal cell; empty cells omitted.
@@ -79,7 +88,8 @@ def hexbin_mean(df: DataFrame, x: str = "LONGITUDE", y: str = "LATITUDE",
     partitioning (a double mean can land either side of it)."""
     pts = df.select(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"),
                     F.col(value).cast("double").alias("_v")).dropna()
-    ext = list(pts.agg(F.min("_x"), F.max("_x"), F.min("_y"), F.max("_y")).first())
+    x0, x1, y0, y1 = pts.agg(F.min("_x"), F.max("_x"), F.min("_y"), F.max("_y")).first()
+    ext = [*_widened(x0, x1), *_widened(y0, y1)]
     cell = sf.hex_cell(F.col("_x"), F.col("_y"), *ext, gridsize)
     t = pts.withColumn("c", cell)
     return (t.groupBy("c.lattice", "c.i", "c.j")
@@ -100,20 +110,25 @@ def target_summary(df: DataFrame, target: str = "RESPONSE_TIME_DAYS", stable: bo
 
 def correlation_matrix(df: DataFrame, features: list[str]) -> DataFrame:
     """Pearson correlation of every ordered feature pair, pairwise complete
-    rows as pandas does (A12). One aggregation with k(k-1)/2 ``corr``."""
+    rows as pandas does (A12); null where one of them is constant. One
+    aggregation over all pairs."""
     aggs = []
     pairs = []
     for i, a in enumerate(features):
         for b in features[i + 1:]:
-            aggs.append(F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}__{b}"))
+            both = F.col(a).isNotNull() & F.col(b).isNotNull()
+            x, y = (F.when(both, F.col(c).cast("double")) for c in (a, b))
+            aggs.append(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)).alias(f"{a}__{b}"))
             pairs.append((a, b))
+    # a constant column has no correlation, not even with itself
+    aggs += [F.when(F.stddev_pop(F.col(a).cast("double")) > 0, F.lit(1.0)).alias(f"{a}__{a}") for a in features]
     row = df.agg(*aggs)
     parts = []
     for a, b in pairs:
         parts.append(f"'{a}', '{b}', `{a}__{b}`")
         parts.append(f"'{b}', '{a}', `{a}__{b}`")
     for a in features:
-        parts.append(f"'{a}', '{a}', CAST(1.0 AS DOUBLE)")
+        parts.append(f"'{a}', '{a}', `{a}__{a}`")
     return row.selectExpr(f"stack({len(parts)}, {', '.join(parts)}) AS (feature_a, feature_b, corr)")
 
 

@@ -90,15 +90,15 @@ def _finish(rows: DataFrame, targets: DataFrame, by: list[str]) -> DataFrame:
 def exact_quantiles(df: DataFrame, col: str, qs: list[float], by: list[str] | None = None,
                     buckets: int = 4096, final_rows: int = 1_000_000, max_levels: int = 64,
                     stable: bool = False) -> DataFrame:
-    """Long table (by..., q, value): exact q-quantiles of non-null ``col``
-    per group (groups without values are absent).
+    """Long table (by..., q, value): exact q-quantiles of ``col`` (nulls and
+    NaN left out) per group (groups without values are absent).
 
     The passes must see identical values. A recomputed aggregate can differ
     in the last bit, so the narrow (group, value) projection is written once,
     unless the caller states that ``df`` is ``stable`` (row-wise expressions
     over a stored table)."""
     by = list(by or [])
-    rows = df.select(*by, F.col(col).cast("double").alias("_x")).where(F.col("_x").isNotNull())
+    rows = df.select(*by, F.col(col).cast("double").alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
     if not stable:
         rows = persist_table(rows, "quantile_rows")
     if not by:

@@ -39,11 +39,11 @@ def chronological_split(df: DataFrame, test_ratio: float = 0.2, val_ratio: float
 
 
 def cutoff_split(df: DataFrame, cutoff: str = "2024-01-01", time_col: str = "CREATED_DATE") -> DataFrame:
-    """train if time < cutoff else test (P31); null time -> test, as ``<``
-    on a missing time is false in the reference."""
+    """train if time < cutoff, test if time >= cutoff (P31); a row without a
+    time belongs to neither (null ``split``)."""
     t = F.col(time_col)
     cut = F.lit(cutoff).cast("timestamp_ntz")
-    return df.withColumn("split", F.when(t < cut, F.lit("train")).otherwise(F.lit("test")))
+    return df.withColumn("split", F.when(t < cut, F.lit("train")).when(t >= cut, F.lit("test")))
 
 
 def split_summary(split_df: DataFrame, time_col: str = "CREATED_DATE") -> DataFrame:

@@ -96,9 +96,7 @@ def load_and_split(spark, path: str, sample_size: int | None = 5000, use_validat
     -> P99 removal -> optional exact seeded sample -> chronological
     60/20/20 (train, val, test) or 80/20 (train, test) split."""
     df = clean.with_response_time(files.load_requests(spark, path, strict=True))
-    df = clean.keep_columns(df)
-    if "SR_NUMBER" not in df.columns:
-        df = df.withColumn("SR_NUMBER", F.sha2(F.to_json(F.struct(*df.columns)), 256))
+    df = clean.select_required(df)
     df = persist_table(clean.drop_null(df, ["RESPONSE_TIME_DAYS"]), "loaded")
     kept, _ = clean.remove_above_quantile(df, stable=True)
     if sample_size is not None:
@@ -133,9 +131,8 @@ def compare_models(requests: DataFrame, cfg: CompareConfig | None = None,
 
     lgb = md.boosted(cfg.lgb_params, style="lgb")
     lrounds = md.mean_iterations(md.cv_iterations(tr, cfg.cv_folds, lgb))
-    preds = [md.predict_days(md.boosted(dict(cfg.lgb_params, maxIter=lrounds, seed=s), style="lgb").fit(tr),
-                             te, f"seed_{s}") for s in cfg.seeds]
-    ens = md.ensemble_predictions(reduce(lambda a, b: a.unionByName(b), preds))
+    members = [md.boosted(dict(cfg.lgb_params, maxIter=lrounds, seed=s), style="lgb").fit(tr) for s in cfg.seeds]
+    ens = md.ensemble_predictions(members, te)
     results.append(metrics.regression_metrics(ens))
 
     allm = metrics.union_results(results)

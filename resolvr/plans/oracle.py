@@ -478,6 +478,7 @@ SELECT SR_NUMBER, SR_TYPE, CREATED_DATE, CLOSED_DATE FROM req ORDER BY {RANK_ORD
     q["keep_columns"] = w(REQ) + """
 SELECT SR_TYPE, ORIGIN, CREATED_DATE, CLOSED_DATE, ZIP_CODE, CAST(CREATED_HOUR AS BIGINT) AS CREATED_HOUR,
        CAST(CREATED_DAY_OF_WEEK AS BIGINT) AS CREATED_DAY_OF_WEEK, CAST(CREATED_MONTH AS BIGINT) AS CREATED_MONTH,
+       round(LATITUDE, 6) AS LATITUDE, round(LONGITUDE, 6) AS LONGITUDE,
        round(RESPONSE_TIME_DAYS, 6) AS RESPONSE_TIME_DAYS FROM req"""
     q["numeric_columns"] = w(REQ) + """
 SELECT SR_NUMBER, round(LATITUDE, 6) AS LATITUDE, round(LONGITUDE, 6) AS LONGITUDE,

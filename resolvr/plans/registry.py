@@ -507,7 +507,8 @@ def first_rows(spark, d):
 def keep_columns(spark, d):
     k = clean.keep_columns(pp.requests(spark, d))
     return k.select([as_long(c).alias(c) if c in ("CREATED_HOUR", "CREATED_DAY_OF_WEEK", "CREATED_MONTH")
-                     else (r6(c).alias(c) if c == "RESPONSE_TIME_DAYS" else F.col(c)) for c in k.columns])
+                     else (r6(c).alias(c) if c in ("RESPONSE_TIME_DAYS", "LATITUDE", "LONGITUDE") else F.col(c))
+                     for c in k.columns])
 
 
 @key("numeric_columns")

@@ -222,8 +222,8 @@ def test_csv_sources_and_missing_path(spark, tmp_path):
 
 def test_keep_columns_and_numeric(spark):
     df = spark.createDataFrame([(1, "x", 2.0)], "CREATED_HOUR int, EXTRA string, LATITUDE double")
-    assert clean.keep_columns(df).columns == ["CREATED_HOUR"]
-    assert clean.dropped_columns(df) == ["EXTRA", "LATITUDE"]
+    assert clean.keep_columns(df).columns == ["CREATED_HOUR", "LATITUDE"]
+    assert clean.dropped_columns(df) == ["EXTRA"]
     assert clean.numeric_columns(df) == ["CREATED_HOUR", "LATITUDE"]
 
 
@@ -257,3 +257,44 @@ def test_spread_small_scan(spark):
     # an input that already has enough splits is returned as it is
     wide = spark.range(0, 100, 1, slots + 2)
     assert spread_small_scan(wide) is wide
+
+
+def test_required_columns_are_required(spark):
+    from pyspark.errors import AnalysisException
+    assert len(clean.KEEP_COLUMNS) == 13 and len(clean.REQUIRED_COLUMNS) == 9
+    df = spark.createDataFrame([("k", 1)], "SR_NUMBER string, CREATED_HOUR int")
+    with pytest.raises(AnalysisException):
+        clean.select_required(df)
+
+
+def test_cutoff_leaves_rows_without_a_time_out(spark):
+    df = spark.sql("SELECT * FROM VALUES (1, TIMESTAMP_NTZ '2023-12-31'), (2, TIMESTAMP_NTZ '2024-01-01'), (3, NULL) "
+                   "AS t(i, CREATED_DATE)")
+    got = {r.i: r.split for r in split.cutoff_split(df).collect()}
+    assert got == {1: "train", 2: "test", 3: None}
+
+
+def test_constant_and_empty_columns(spark):
+    df = spark.createDataFrame([(1.0, 5.0, 2.0), (2.0, 5.0, 4.0), (3.0, 5.0, 6.0)], "a double, b double, c double")
+    m = {(r.feature_a, r.feature_b): r["corr"] for r in profile.correlation_matrix(df, ["a", "b", "c"]).collect()}
+    assert m["a", "c"] == pytest.approx(1.0) and m["a", "a"] == 1.0
+    assert m["a", "b"] is None and m["b", "b"] is None
+    cells = profile.hexbin_mean(df, "b", "a", "c").collect()
+    assert sum(r.n_points for r in cells) == 3
+    assert profile.hexbin_mean(df.where("a > 9"), "b", "a", "c").count() == 0
+
+
+def test_quantiles_leave_nan_out(spark):
+    from resolvr.operators.quantile import exact_quantile
+    df = spark.createDataFrame([(float(i),) for i in range(11)] + [(float("nan"),), (None,)], "x double")
+    assert exact_quantile(df, "x", 0.5, final_rows=2, buckets=4) == 5.0
+
+
+def test_ensemble_keeps_rows_of_one_key_apart(spark):
+    from pyspark.ml.feature import VectorAssembler
+    from resolvr.operators import models as md
+    df = spark.createDataFrame([("k", 0.0, 1.0), ("k", 1.0, 2.0), ("m", 2.0, 3.0)], "SR_NUMBER string, x double, y_true double")
+    f = VectorAssembler(inputCols=["x"], outputCol="features").transform(df.selectExpr("*", "log1p(y_true) AS label"))
+    models = [md.fit(md.linear_pipeline([], []), f) for _ in range(2)]
+    got = md.ensemble_predictions(models, f).collect()
+    assert sorted((r.SR_NUMBER, r.y_true) for r in got) == [("k", 1.0), ("k", 2.0), ("m", 3.0)]
