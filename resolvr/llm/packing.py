@@ -44,7 +44,7 @@ class WordIds(dict):
     behind letters and a line break between words are always token runs of
     their own, so such parts are put together from what they consist of."""
 
-    def __init__(self, encode, encode_letters, lead: str, limit: int = 700_000, longest: int = 48):
+    def __init__(self, encode, encode_letters, lead: str, limit: int = 450_000, longest: int = 48):
         super().__init__()
         self.encode, self.encode_letters, self.lead = encode, encode_letters, lead
         self.limit, self.longest, self.line_start = limit, longest, self
