@@ -4,9 +4,10 @@ request files, with Structured Streaming.
 New CSV files in a landing folder are typed and cleaned by the same column
 functions as the batch path (P1, P8, P15). Two outputs:
 
-* ``group_sums``: per key combination, running sum and count of the target,
-  merged batch by batch into a Parquet table (exact: means are sum / count,
-  so late rows simply add to their group). ``group_means`` reads it.
+* ``group_sums``: per key combination, sum and count of the target, one folder
+  ``epoch=N`` per batch. A replayed batch overwrites its own folder, so nothing
+  is counted twice and earlier batches are never rewritten. ``group_means``
+  adds the batches up (means are sum / count, so late rows just add to theirs).
 * ``daily_stats``: per created day, count and mean, as a watermarked
   tumbling-window aggregate in append mode (a day is emitted once the
   watermark passes it, late rows beyond the delay are dropped by Spark).
@@ -34,34 +35,24 @@ def request_stream(spark: SparkSession, landing: str, fmt: str = tf.US_FORMAT) -
                  .where(F.col("RESPONSE_TIME_DAYS").isNotNull()))
 
 
-def _merge_sums(table: str, keys: list[str]):
-    def merge(batch: DataFrame, epoch_id: int) -> None:
-        spark = batch.sparkSession
-        inc = batch.groupBy(*keys).agg(F.sum("RESPONSE_TIME_DAYS").alias("total"),
-                                       F.count(F.lit(1)).alias("n"))
-        try:
-            old = spark.read.parquet(table)
-        except Exception:  # noqa: BLE001 - first batch: no table yet
-            old = None
-        merged = inc if old is None else (old.unionByName(inc).groupBy(*keys)
-                                             .agg(F.sum("total").alias("total"), F.sum("n").alias("n")))
-        # write next to the table, then swap: a failed batch leaves the old table whole
-        tmp = f"{table}.__epoch_{epoch_id}"
-        merged.write.mode("overwrite").parquet(tmp)
-        spark.read.parquet(tmp).write.mode("overwrite").parquet(table)
-    return merge
+def _write_sums(table: str, keys: list[str]):
+    def write(batch: DataFrame, epoch_id: int) -> None:
+        (batch.groupBy(*keys).agg(F.sum("RESPONSE_TIME_DAYS").alias("total"), F.count(F.lit(1)).alias("n"))
+              .write.mode("overwrite").parquet(f"{table}/epoch={epoch_id}"))
+    return write
 
 
 def group_sums(stream: DataFrame, keys: list[str], table: str, checkpoint: str, once: bool = True):
-    """Start the running (sum, count) per key combination; returns the query."""
-    w = stream.writeStream.foreachBatch(_merge_sums(table, keys)).option("checkpointLocation", checkpoint)
+    """Start the per-batch (sum, count) per key combination; returns the query."""
+    w = stream.writeStream.foreachBatch(_write_sums(table, keys)).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if once else w.trigger(processingTime="1 minute")
     return w.start()
 
 
 def group_means(spark: SparkSession, table: str, keys: list[str]) -> DataFrame:
-    """The historical-average table (A2) from the running sums."""
-    return spark.read.parquet(table).select(*keys, (F.col("total") / F.col("n")).alias("mean_days"), "n")
+    """The historical-average table (A2) from the sums of all batches."""
+    g = spark.read.parquet(table).groupBy(*keys).agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    return g.select(*keys, (F.col("total") / F.col("n")).alias("mean_days"), "n")
 
 
 def daily_stats(stream: DataFrame, out: str, checkpoint: str, delay: str = "2 days", once: bool = True):
