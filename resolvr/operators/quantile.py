@@ -144,25 +144,17 @@ def exact_quantiles(df: DataFrame, col: str, qs: list[float], by: list[str] | No
     return out.select(*by, qmap.alias("q"), value.alias("value"))
 
 
-def _global_quantiles(rows: DataFrame, qs: list[float], buckets: int, final_rows: int,
-                      max_levels: int) -> DataFrame:
-    """Global case: the same selection, with the state of the 2 x quantiles
-    targets kept on the driver as scalars (no state tables between passes).
-    Each histogram pass returns at most ``buckets`` rows per target."""
-    spark = rows.sparkSession
+def select_ranks(rows: DataFrame, ranks: list[int], buckets: int = 4096, final_rows: int = 1_000_000,
+                 max_levels: int = 64) -> list[float]:
+    """Values at the 0-based ``ranks`` of column ``_x`` (stable, no nulls or
+    NaN). The same selection, with the state of these few targets kept on the
+    driver as scalars (no state tables between passes). Each histogram pass
+    returns at most ``buckets`` rows per target."""
     st = rows.agg(F.count(F.lit(1)).alias("n"), F.min("_x").alias("mn"), F.max("_x").alias("mx")).first()
-    n = st["n"]
-    if not n:
-        return spark.createDataFrame([], "q double, value double")
-    targets, specs = [], []
-    for q in qs:
-        pos = float(q) * float(n - 1)
-        k0 = math.floor(pos)
-        specs.append((float(q), len(targets), len(targets) + 1, pos - k0))
-        for r in (k0, min(k0 + 1, n - 1)):
-            targets.append({"r": r, "lo": st["mn"], "hi": st["mx"], "off": 0, "cnt": n})
+    targets = [{"r": r, "lo": st["mn"], "hi": st["mx"], "off": 0, "cnt": st["n"]} for r in ranks]
+    wide = lambda: [i for i, t in enumerate(targets) if t["cnt"] > final_rows and t["lo"] < t["hi"]]
     for _ in range(max_levels):
-        active = [i for i, t in enumerate(targets) if t["cnt"] > final_rows and t["lo"] < t["hi"]]
+        active = wide()
         if not active:
             break
         j = _attach_literal(rows, [(i, targets[i]["lo"], targets[i]["hi"], 0) for i in active])
@@ -179,6 +171,8 @@ def _global_quantiles(rows: DataFrame, qs: list[float], buckets: int, final_rows
                     t.update(lo=h["bmin"], hi=h["bmax"], off=before, cnt=h["c"])
                     break
                 before += h["c"]
+    if wide():
+        raise RuntimeError(f"order statistics not narrowed after {max_levels} passes")
     values = {i: t["lo"] for i, t in enumerate(targets) if t["lo"] == t["hi"]}
     rest = [(i, t["lo"], t["hi"], t["r"] - t["off"]) for i, t in enumerate(targets) if t["lo"] < t["hi"]]
     if rest:
@@ -187,8 +181,20 @@ def _global_quantiles(rows: DataFrame, qs: list[float], buckets: int, final_rows
         picked = (g.withColumn("cum", F.sum("c").over(w)).where(F.col("cum") > F.col("need"))
                    .groupBy("_t").agg(F.min("_x").alias("value")).collect())
         values.update({p["_t"]: p["value"] for p in picked})
-    out = [(q, values[i0] + (values[i1] - values[i0]) * frac) for q, i0, i1, frac in specs]
-    return spark.createDataFrame(out, "q double, value double")
+    return [values[i] for i in range(len(targets))]
+
+
+def _global_quantiles(rows: DataFrame, qs: list[float], buckets: int, final_rows: int,
+                      max_levels: int) -> DataFrame:
+    """Global case: 2 x quantiles ranks, interpolated on the driver."""
+    n = rows.count()
+    if not n:
+        return rows.sparkSession.createDataFrame([], "q double, value double")
+    places = [(float(q), float(q) * float(n - 1)) for q in qs]
+    ranks = [r for _, pos in places for r in (math.floor(pos), min(math.floor(pos) + 1, n - 1))]
+    v = select_ranks(rows, ranks, buckets, final_rows, max_levels)
+    out = [(q, v[2 * i] + (v[2 * i + 1] - v[2 * i]) * (pos - math.floor(pos))) for i, (q, pos) in enumerate(places)]
+    return rows.sparkSession.createDataFrame(out, "q double, value double")
 
 
 def exact_quantile(df: DataFrame, col: str, q: float, **kw) -> float | None:

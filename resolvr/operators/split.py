@@ -7,7 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import persist_table
 from .rank import global_rank, sort_orders
+from .select import label_by_position
 
 
 def rank_by_time(df: DataFrame, time_col: str = "CREATED_DATE", rank_col: str = "row_rank") -> DataFrame:
@@ -21,21 +23,35 @@ def _sizes(n: int, test_ratio: float, val_ratio: float):
     return n - n_test - n_val, n_val, n_test
 
 
+def time_value(time_col: str = "CREATED_DATE") -> Column:
+    """A time as a double that never falls as the time grows (microseconds)."""
+    return F.unix_micros(F.col(time_col).cast("timestamp")).cast("double")
+
+
 def chronological_split(df: DataFrame, test_ratio: float = 0.2, val_ratio: float = 0.2,
-                        time_col: str = "CREATED_DATE", ranked: DataFrame | None = None) -> DataFrame:
-    """Add ``split`` in {train, val, test} by position in time.
-
-    Sizes follow ``int(n * ratio)`` for test and val, train takes the rest.
-    ``val_ratio = 0`` gives the two-way split (W2). Returns the rows with
-    ``row_rank`` and ``split``; ``n`` is one scalar count."""
-    r = ranked if ranked is not None else rank_by_time(df, time_col)
-    n = r.count()
+                        time_col: str = "CREATED_DATE", stable: bool = False) -> DataFrame:
+    """Add ``split`` in {train, val, test} by position in (time, every other
+    column) order, nulls last (W1).
+
+    Sizes follow ``int(n * ratio)`` for test and val, train takes the rest;
+    ``val_ratio = 0`` gives the two-way split (W2). The two boundary times are
+    selected exactly and rows are labelled by comparison (``select.py``).
+    A ``df`` not stated to be ``stable`` is written once first."""
+    if not stable:
+        df = persist_table(df, "split")
+    n = df.count()
+    n_train, n_val, _ = _sizes(n, test_ratio, val_ratio)
+    return label_by_position(df, time_value(time_col), sort_orders([time_col], df),
+                             [n_train, n_train + n_val], ["train", "val", "test"], "split")
+
+
+def ranked_split(ranked: DataFrame, test_ratio: float = 0.2, val_ratio: float = 0.2) -> DataFrame:
+    """The same split of a table that already has its ``row_rank``."""
+    n = ranked.count()
     n_train, n_val, _ = _sizes(n, test_ratio, val_ratio)
     rk = F.col("row_rank")
-    split = (F.when(rk <= F.lit(n_train), F.lit("train"))
-              .when(rk <= F.lit(n_train + n_val), F.lit("val"))
-              .otherwise(F.lit("test")))
-    return r.withColumn("split", split)
+    return ranked.withColumn("split", F.when(rk <= n_train, F.lit("train")).when(rk <= n_train + n_val, F.lit("val"))
+                             .otherwise(F.lit("test")))
 
 
 def cutoff_split(df: DataFrame, cutoff: str = "2024-01-01", time_col: str = "CREATED_DATE") -> DataFrame:
@@ -76,46 +92,44 @@ def cv_assign(ranked: DataFrame, n: int, k: int = 5, rank_col: str = "row_rank")
 
 
 def hash_order(key: str | Column, seed: int) -> Column:
-    """Seeded pseudo-random order of rows by key (stable across runs and
-    partitionings)."""
+    """Seeded pseudo-random order of rows by key: hexadecimal MD5 of
+    ``key:seed``, the same in any engine, run or partitioning."""
     k = F.col(key) if isinstance(key, str) else key
-    return F.xxhash64(k, F.lit(seed))
+    return F.md5(F.concat_ws(":", k.cast("string"), F.lit(str(seed))))
 
 
-def random_split(df: DataFrame, test_ratio: float = 0.2, seed: int = 42, key: str = "SR_NUMBER") -> DataFrame:
-    """Seeded train/test split with an exact test size ceil(n * ratio).
-    Rows are ranked by (hash(key, seed), every column); the first
-    ``ceil(n * ratio)`` ranks are test."""
-    h = hash_order(key, seed).alias("_h")
-    tmp = df.withColumn("_h", h)
-    ranked = global_rank(tmp, sort_orders(["_h"], tmp), "_rrank")
-    n = ranked.count()
-    n_test = int(math.ceil(n * test_ratio))
-    return (ranked.withColumn("split", F.when(F.col("_rrank") <= F.lit(n_test), F.lit("test"))
-                                         .otherwise(F.lit("train")))
-                  .drop("_h", "_rrank"))
+def _first_by_hash(df: DataFrame, n: int, seed: int, key: str, out: str, stable: bool) -> DataFrame:
+    """``out`` = 'in' for the first ``n`` rows in seeded hash order, else 'out'."""
+    tmp = df.withColumn("_h", hash_order(key, seed))
+    if not stable:
+        tmp = persist_table(tmp, "sample")
+    # 13 hexadecimal digits fit a double exactly and rise with the whole string
+    value = F.conv(F.substring("_h", 1, 13), 16, 10).cast("double")
+    return label_by_position(tmp, value, sort_orders(["_h"], tmp), [n], ["in", "out"], out).drop("_h")
 
 
-def exact_sample(df: DataFrame, n: int, seed: int = 42, key: str = "SR_NUMBER",
-                 take_ordered_max: int = 100_000) -> DataFrame:
-    """Exactly ``min(n, rows)`` rows chosen by a seeded hash order.
+def random_split(df: DataFrame, test_ratio: float = 0.2, seed: int = 42, key: str = "SR_NUMBER",
+                 stable: bool = False) -> DataFrame:
+    """Seeded train/test split with an exact test size ceil(n * ratio) (W5):
+    the first rows by (hash(key, seed), every column) are test."""
+    if not stable:
+        df = persist_table(df, "sample")
+    picked = _first_by_hash(df, int(math.ceil(df.count() * test_ratio)), seed, key, "split", True)
+    return picked.withColumn("split", F.when(F.col("split") == "in", "test").otherwise("train"))
 
-    Small n: ``orderBy(...).limit(n)`` plans a TakeOrdered, each task keeps
-    its own best n (no full sort, no data shuffle). Large n: a global rank
-    (range-partitioned, see ``rank.py``) and a filter, so no single task
-    ever holds n rows."""
-    tmp = df.withColumn("_h", hash_order(key, seed))
-    orders = sort_orders(["_h"], tmp)
-    if n <= take_ordered_max:
-        return tmp.orderBy(*orders).limit(n).drop("_h")
-    ranked = global_rank(tmp, orders, "_srank")
-    return ranked.where(F.col("_srank") <= F.lit(n)).drop("_h", "_srank")
+
+def exact_sample(df: DataFrame, n: int, seed: int = 42, key: str = "SR_NUMBER", stable: bool = False) -> DataFrame:
+    """Exactly ``min(n, rows)`` rows, the first in a seeded hash order (W6):
+    the n-th hash is selected exactly, then a filter keeps the rows up to it."""
+    return _first_by_hash(df, n, seed, key, "_in", stable).where("_in = 'in'").drop("_in")
 
 
-def proportional_sample(df: DataFrame, n: int, seed: int = 42, key: str = "SR_NUMBER") -> DataFrame:
+def proportional_sample(df: DataFrame, n: int, seed: int = 42, key: str = "SR_NUMBER",
+                        stable: bool = False) -> DataFrame:
     """Sample ``int(rows * min(1, n / rows))`` rows."""
+    if not stable:
+        df = persist_table(df, "sample")
     rows = df.count()
     if rows == 0:
         return df
-    take = int(rows * min(1.0, n / rows))
-    return exact_sample(df, take, seed, key)
+    return exact_sample(df, int(rows * min(1.0, n / rows)), seed, key, stable=True)

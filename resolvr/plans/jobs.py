@@ -80,7 +80,7 @@ def split_rows(df: DataFrame, cfg: CompareConfig) -> tuple[DataFrame, DataFrame]
             test = split.proportional_sample(test, cfg.sample_size)
         train = split.rank_by_time(train.drop("split"))
         return train, test
-    s = split.chronological_split(df, cfg.test_ratio, cfg.val_ratio)
+    s = split.ranked_split(split.rank_by_time(df), cfg.test_ratio, cfg.val_ratio)
     train, test = s.where(F.col("split") == "train"), s.where(F.col("split") == "test")
     if cfg.cap_fit_on == "train":
         # threshold from the training slice only, applied to every slice

@@ -430,8 +430,17 @@ SELECT feature_a AS feature, corr FROM m WHERE feature_b = 'RESPONSE_TIME_DAYS'
     q["null_counts"] = _null_counts_sql()
     q["table_profile"] = _profile_sql()
     q["column_modes"] = _modes_sql()
-    q["split_three_way"] = w(REQ, BASE) + "\nSELECT SR_NUMBER, row_rank, split FROM split3"
-    q["split_two_way"] = w(REQ, BASE) + "\nSELECT SR_NUMBER, row_rank, split FROM split2"
+    q["split_three_way"] = w(REQ, BASE) + "\nSELECT SR_NUMBER, CREATED_DATE, split FROM split3"
+    q["split_two_way"] = w(REQ, BASE) + "\nSELECT SR_NUMBER, CREATED_DATE, split FROM split2"
+    by_hash = "row_number() OVER (ORDER BY md5(SR_NUMBER || ':42'), " + RANK_ORDER + ") AS h"
+    q["random_split"] = w(REQ, BASE) + f"""
+SELECT SR_NUMBER, CASE WHEN h <= ceil((SELECT count(*) FROM capped) * CAST(0.2 AS DOUBLE)) THEN 'test' ELSE 'train' END AS split
+FROM (SELECT *, {by_hash} FROM capped)"""
+    q["exact_sample"] = w(REQ, BASE) + f"""
+SELECT SR_NUMBER, CREATED_DATE FROM (SELECT *, {by_hash} FROM capped) WHERE h <= 5000"""
+    q["proportional_sample"] = w(REQ, BASE) + f"""
+SELECT SR_NUMBER, CREATED_DATE FROM (SELECT *, {by_hash} FROM test)
+WHERE h <= (SELECT CAST(floor(count(*) * least(1.0, CAST(5000 AS DOUBLE) / count(*))) AS BIGINT) FROM test)"""
     q["split_summary"] = w(REQ, BASE) + """
 SELECT coalesce(split, 'total') AS split, count(*) AS n_rows, min(CREATED_DATE) AS start, max(CREATED_DATE) AS "end"
 FROM split3 GROUP BY ROLLUP (split)"""

@@ -357,12 +357,12 @@ def column_modes(spark, d):
 
 @key("split_three_way")
 def split_three_way(spark, d):
-    return pp.split3(spark, d).select("SR_NUMBER", as_long("row_rank").alias("row_rank"), "split")
+    return pp.split3(spark, d).select("SR_NUMBER", "CREATED_DATE", "split")
 
 
 @key("split_two_way")
 def split_two_way(spark, d):
-    return pp.split2(spark, d).select("SR_NUMBER", as_long("row_rank").alias("row_rank"), "split")
+    return pp.split2(spark, d).select("SR_NUMBER", "CREATED_DATE", "split")
 
 
 @key("split_summary")
@@ -380,7 +380,7 @@ def split_cutoff(spark, d):
 
 @key("cv_folds")
 def cv_folds(spark, d):
-    train, _ = pp.train_test(spark, d)
+    train = pp.ranked_split3(spark, d).where(F.col("split") == "train")
     a = split.cv_assign(train, pp.n_train(spark, d), 5)
     return a.select(as_long("fold").alias("fold"), "role", "SR_NUMBER", as_long("row_rank").alias("row_rank"))
 
@@ -410,16 +410,16 @@ def label_encode_unseen(spark, d):
     return e.select("SR_NUMBER", "SR_TYPE_code", "ZIP_CODE_code", "ORIGIN_code")
 
 
-# ---------------------------------------------------------------- W5-W7 (rows-only: hash differs in DuckDB)
+# ---------------------------------------------------------------- W5-W7 (first rows by md5(key:seed))
 
 @key("random_split")
 def random_split(spark, d):
-    return split.random_split(pp.capped(spark, d), 0.2, 42).select("SR_NUMBER", "split")
+    return split.random_split(pp.capped(spark, d), 0.2, 42, stable=True).select("SR_NUMBER", "split")
 
 
 @key("exact_sample")
 def exact_sample(spark, d):
-    return split.exact_sample(pp.capped(spark, d), 5000, 42).select("SR_NUMBER", "CREATED_DATE")
+    return split.exact_sample(pp.capped(spark, d), 5000, 42, stable=True).select("SR_NUMBER", "CREATED_DATE")
 
 
 @key("proportional_sample")
@@ -431,7 +431,7 @@ def proportional_sample(spark, d):
 # ---------------------------------------------------------------- A23-A26, J6 over CV trials
 
 def _trials(spark, d) -> DataFrame:
-    train, _ = pp.train_test(spark, d)
+    train = pp.ranked_split3(spark, d).where(F.col("split") == "train")
     return trials.cv_baseline_trials(train, pp.n_train(spark, d), 5)
 
 

@@ -88,13 +88,34 @@ def test_exact_sample_and_random_split(spark):
     b = split.exact_sample(df.repartition(7), 100, 42)
     assert a.count() == 100
     assert sorted(r[0] for r in a.collect()) == sorted(r[0] for r in b.collect())
-    big = split.exact_sample(df, 300, 42, take_ordered_max=10)
-    assert big.count() == 300
+    assert split.exact_sample(df, 300, 42).count() == 300
+    assert split.exact_sample(df, 2000, 42).count() == 1000
+    assert split.exact_sample(df.limit(0), 5, 42).count() == 0
     rs = split.random_split(df, 0.2, 42)
     assert rs.where("split = 'test'").count() == 200
     assert split.proportional_sample(df, 5000).count() == 1000
 
 
+def test_split_by_selection_matches_the_ranked_split(spark):
+    """One hot time over both boundaries, null times, few distinct times."""
+    rows = [(str(i), None if i % 11 == 0 else f"2020-01-0{1 + (i % 3) * (i % 2)} 00:00:00") for i in range(301)]
+    df = spark.createDataFrame(rows, "SR_NUMBER string, t string").select(
+        "SR_NUMBER", F.col("t").cast("timestamp_ntz").alias("CREATED_DATE"))
+    for test, val in [(0.2, 0.2), (0.2, 0.0), (0.02, 0.05), (0.0, 0.0)]:
+        got = {r["SR_NUMBER"]: r["split"] for r in split.chronological_split(df, test, val).collect()}
+        want = split.ranked_split(split.rank_by_time(df), test, val)
+        assert got == {r["SR_NUMBER"]: r["split"] for r in want.collect()}
+        assert len(got) == 301
+    assert split.chronological_split(df.limit(0)).count() == 0
+
+
+def test_repeated_keys_are_sampled_exactly(spark):
+    df = spark.range(90).select(F.lit("same").alias("SR_NUMBER"), F.col("id").alias("v"))
+    got = sorted(r["v"] for r in split.exact_sample(df, 31).collect())
+    assert got == list(range(31))
+    assert split.random_split(df, 0.5).where("split = 'test'").count() == 45
+
+
 def test_baseline_unseen_key_and_null_zip(spark):
     train = spark.createDataFrame([("A", "1", 10.0), ("A", "2", 20.0), ("B", "1", 30.0), ("B", None, 40.0)],
                                   "SR_TYPE string, ZIP_CODE string, RESPONSE_TIME_DAYS double")
