@@ -87,6 +87,11 @@ def drop_null(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.dropna(subset=list(cols))
 
 
+def log_target_rows(df: DataFrame, col: str = "RESPONSE_TIME_DAYS") -> DataFrame:
+    """Rows for which ``log1p`` of the target is defined (above -1 day)."""
+    return df.where(F.col(col) > -1)
+
+
 def positive_only(df: DataFrame, col: str = "RESPONSE_TIME_DAYS") -> DataFrame:
     """Strictly positive target (P16); needed before ``log1p``."""
     return df.where(F.col(col) > 0)

@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.labels import CHART_MODELS
 from ..operators import attribution as at
 from ..operators import baselines as bl
 from ..operators import clean, joins, metrics, models as md, profile, split, trials
@@ -52,12 +53,15 @@ def weather_config(**kw) -> CompareConfig:
 
 
 def prepare_requests(df: DataFrame, cfg: CompareConfig) -> tuple[DataFrame, float | None]:
-    """Target, filters and P99 removal (P8, P15-P18) -> persisted table."""
+    """Target, filters and P99 removal (P8, P15-P18) -> persisted table.
+
+    Targets of the models are ``log1p``, so rows without one are left out
+    here, before the split: baselines and models are fitted and scored on the
+    same rows."""
     if "RESPONSE_TIME_DAYS" not in df.columns:
         df = clean.with_response_time(df)
     df = clean.drop_null(df, ["RESPONSE_TIME_DAYS"])
-    if cfg.positive_only:
-        df = clean.positive_only(df)
+    df = clean.positive_only(df) if cfg.positive_only else clean.log_target_rows(df)
     df = persist_table(df, "prepared")
     if cfg.cap_fit_on == "train":
         kept, t = df, None            # the threshold is fitted after the split (``split_rows``)
@@ -116,9 +120,7 @@ def compare_models(requests: DataFrame, cfg: CompareConfig | None = None,
     train, test = split_rows(rows, cfg)
     results = [metrics.regression_metrics(bl.baseline_predictions(test, train))]
 
-    pos_train = clean.positive_only(train)
-    pos_test = clean.positive_only(test)
-    tr, (te,), names = md.feature_table(pos_train, [pos_test], cfg.categorical, cfg.numeric)
+    tr, (te,), names = md.feature_table(train, [test], cfg.categorical, cfg.numeric)
     tr, te = tr.cache(), te.cache()
 
     xgb = md.boosted(cfg.xgb_params, style="xgb")
@@ -135,10 +137,13 @@ def compare_models(requests: DataFrame, cfg: CompareConfig | None = None,
     ens = md.ensemble_predictions(members, te)
     results.append(metrics.regression_metrics(ens))
 
-    allm = metrics.union_results(results)
+    allm = persist_table(metrics.union_results(results), "metrics")
+    if allm.select("n_samples").distinct().count() > 1:
+        raise RuntimeError("models of one comparison were scored on different rows")
     out = {"metrics": metrics.rank_models(allm),
+           "scored_rows": allm.select("model_name", "n_samples"),
            "improvement": metrics.improvement_over_baseline(allm),
-           "chart": metrics.chart_feed(allm, selected=None),
+           "chart": metrics.chart_feed(allm, selected=CHART_MODELS),
            "importance": md.importance_table(spark, rf, names, "RF_Conservative")
                            .unionByName(md.importance_table(spark, xgb_model, names, "XGB_Conservative"))}
     if output:
@@ -204,7 +209,6 @@ def ablation(requests: DataFrame, experiments: list, cfg: CompareConfig | None =
     cfg = cfg or CompareConfig()
     rows, _ = prepare_requests(requests, cfg)
     train, test = split_rows(rows, cfg)
-    train, test = clean.positive_only(train), clean.positive_only(test)
     res = []
     for name, cats, nums in experiments:
         tr, (te,), _ = md.feature_table(train, [test], cats, nums)
@@ -227,8 +231,7 @@ def variance(requests: DataFrame, seeds: list[int], cfg: CompareConfig | None =
     cfg = cfg or CompareConfig()
     rows, _ = prepare_requests(requests, cfg)
     train, test = split_rows(rows, cfg)
-    tr, (te,), names = md.feature_table(clean.positive_only(train), [clean.positive_only(test)],
-                                        cfg.categorical, cfg.numeric)
+    tr, (te,), names = md.feature_table(train, [test], cfg.categorical, cfg.numeric)
     tr, te = tr.cache(), te.cache()
     trial_rows, first = [], {}
     for seed in seeds:

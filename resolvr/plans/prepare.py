@@ -73,6 +73,12 @@ def ranked_split3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _memo(spark, ("ranked_split3", sf_dir), lambda: split.ranked_split(ranked(spark, sf_dir)))
 
 
+def model_split3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranked 60/20/20 split of the rows that have a log target."""
+    return _memo(spark, ("model_split3", sf_dir), lambda: split.ranked_split(
+        split.rank_by_time(clean.log_target_rows(capped(spark, sf_dir)))))
+
+
 def split3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chronological 60/20/20 split of the base pipeline."""
     return _memo(spark, ("split3", sf_dir),

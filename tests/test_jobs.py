@@ -24,6 +24,8 @@ def test_compare_models(req, tmp_path):
                           "XGB_Conservative", "RF_Conservative", "LightGBM_Ensemble"}
     maes = [r["mae"] for r in out["metrics"].collect()]
     assert maes == sorted(maes)
+    assert len({r["n_samples"] for r in out["scored_rows"].collect()}) == 1   # all models on the same rows
+    assert out["chart"].where("clean_label IS NULL").count() == 0
     assert out["improvement"].count() == 1
 
 
