@@ -102,6 +102,8 @@ def links(fps: DataFrame, max_distance: int = 4) -> DataFrame:
     many = met.where("n > 3").select("half").hint("merge")
     on = halves.join(many, "half").select("fp", F.shiftrightunsigned("half", 32).alias("side"),
                                           _low(F.col("half")).alias("half"))
+    # the join leaves a crowded bucket in one task; its members are dealt out before each grows into hundreds of rows
+    on = on.repartition("fp", "side", "half")
     own, other = [F.when(F.col("side") == 0, x).otherwise(y) for x, y in
                   ((_low(fp), _high(fp)), (_high(fp), _low(fp)))]
     used = F.bit_count(own.bitwiseXOR(F.col("half")))
