@@ -55,11 +55,12 @@ def shapley(model, rows: DataFrame, background: DataFrame, features: list[str],
     vec = VectorAssembler(inputCols=[f"_in_{f}" for f in features], outputCol="features",
                           handleInvalid="keep").transform(coal.select("_rid", "_p", "_s", "_order", *cols.keys()))
     scored = model.transform(vec).select("_rid", "_p", "_s", "_order", "prediction")
-    w = Window.partitionBy("_rid", "_p").orderBy("_s")
-    diffs = (scored.withColumn("_delta", F.col("prediction") - F.lag("prediction").over(w))
-                   .where(F.col("_s") > 0)
-                   .withColumn("_fi", F.element_at("_order", F.col("_s").cast("int"))))
-    att = diffs.groupBy("_rid", "_fi").agg((F.sum("_delta") / F.lit(permutations)).alias("attribution"))
+    # a score counts for the feature that entered last and against the one that enters next
+    steps = scored.select("_rid", F.explode(F.array(
+        F.struct(F.get("_order", F.col("_s") - 1).alias("_fi"), F.col("prediction").alias("_d")),
+        F.struct(F.get("_order", F.col("_s")).alias("_fi"), (-F.col("prediction")).alias("_d")))).alias("_e"))
+    att = (steps.select("_rid", "_e.*").where("_fi is not null")
+                .groupBy("_rid", "_fi").agg((F.sum("_d") / F.lit(permutations)).alias("attribution")))
     names = F.element_at(F.array(*[F.lit(f) for f in features]), F.col("_fi") + 1)
     values = rows.select("_rid", key, F.explode(F.array(*[
         F.struct(F.lit(i).alias("_fi"), F.col(f).cast("double").alias("value")) for i, f in enumerate(features)

@@ -18,6 +18,7 @@ from ..functions.labels import CHART_MODELS
 from ..operators import attribution as at
 from ..operators import baselines as bl
 from ..operators import clean, joins, metrics, models as md, profile, split, trials
+from ..operators.encode import assemble
 from ..schemas import CATEGORICAL, TEMPORAL, WEATHER_NUMERIC
 from ..session import persist_table
 from ..sources import files
@@ -73,9 +74,15 @@ def prepare_requests(df: DataFrame, cfg: CompareConfig) -> tuple[DataFrame, floa
 
 
 def split_rows(df: DataFrame, cfg: CompareConfig) -> tuple[DataFrame, DataFrame]:
-    """Chronological (W1, validation slice dropped: Q6) or cutoff split
-    (P31), then the optional seeded samples (W6, W7). Train keeps a time
-    rank for the CV folds."""
+    """Train and test slices (the comparison drops the validation slice: Q6)."""
+    train, _, test = split_slices(df, cfg)
+    return train, test
+
+
+def split_slices(df: DataFrame, cfg: CompareConfig) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """Train, validation and test by the chronological split (W1), or train
+    and test by the cutoff (P31) and the optional seeded samples (W6, W7).
+    Train keeps a time rank for the CV folds."""
     if cfg.cutoff:
         s = split.cutoff_split(df, cfg.cutoff)
         train, test = s.where(F.col("split") == "train"), s.where(F.col("split") == "test")
@@ -83,15 +90,15 @@ def split_rows(df: DataFrame, cfg: CompareConfig) -> tuple[DataFrame, DataFrame]
             train = split.exact_sample(train, cfg.sample_size)
             test = split.proportional_sample(test, cfg.sample_size)
         train = split.rank_by_time(train.drop("split"))
-        return train, test
+        return train, None, test
     s = split.ranked_split(split.rank_by_time(df), cfg.test_ratio, cfg.val_ratio)
-    train, test = s.where(F.col("split") == "train"), s.where(F.col("split") == "test")
+    train, val, test = (s.where(F.col("split") == x) for x in ("train", "val", "test"))
     if cfg.cap_fit_on == "train":
         # threshold from the training slice only, applied to every slice
         _, t = clean.remove_above_quantile(train, "RESPONSE_TIME_DAYS", cfg.cap_quantile)
         keep = F.col("RESPONSE_TIME_DAYS") <= F.lit(t)
-        train, test = train.where(keep), test.where(keep)
-    return train, test
+        train, val, test = train.where(keep), val.where(keep), test.where(keep)
+    return train, val, test
 
 
 def load_and_split(spark, path: str, sample_size: int | None = 5000, use_validation: bool = True,
@@ -122,24 +129,35 @@ def compare_models(requests: DataFrame, cfg: CompareConfig | None = None,
 
     tr, (te,), names = md.feature_table(train, [test], cfg.categorical, cfg.numeric)
     tr, te = tr.cache(), te.cache()
+    bins = md.code_bins(tr, names)
 
-    xgb = md.boosted(cfg.xgb_params, style="xgb")
-    rounds = md.mean_iterations(md.cv_iterations(tr, cfg.cv_folds, xgb))
-    xgb_model = md.boosted(dict(cfg.xgb_params, maxIter=rounds), style="xgb").fit(tr)
+    xgb = md.boosted(cfg.xgb_params, style="xgb", max_bins=bins)
+    rounds = md.mean_iterations(md.cv_iterations(train, cfg.cv_folds, xgb, features=md.fold_features(
+        cfg.categorical, cfg.numeric)), "xgb")
+    xgb_model = md.boosted(dict(cfg.xgb_params, maxIter=rounds), style="xgb", max_bins=bins).fit(tr)
     results.append(metrics.regression_metrics(md.predict_days(xgb_model, te, "XGB_Conservative")))
 
-    rf = md.random_forest(cfg.forest_params).fit(tr)
+    rf = md.random_forest(cfg.forest_params, bins).fit(tr)
     results.append(metrics.regression_metrics(md.predict_days(rf, te, "RF_Conservative")))
 
-    lgb = md.boosted(cfg.lgb_params, style="lgb")
-    lrounds = md.mean_iterations(md.cv_iterations(tr, cfg.cv_folds, lgb))
-    members = [md.boosted(dict(cfg.lgb_params, maxIter=lrounds, seed=s), style="lgb").fit(tr) for s in cfg.seeds]
-    ens = md.ensemble_predictions(members, te)
+    # the second style takes the dictionary columns as categories, in its folds as in its fits
+    ctr, (cte,), _ = md.feature_table(train, [test], cfg.categorical, cfg.numeric, nominal=True)
+    ctr, cte = ctr.cache(), cte.cache()
+    cbins = md.code_bins(ctr, names)
+    lgb = md.boosted(cfg.lgb_params, style="lgb", max_bins=cbins)
+    lrounds = md.mean_iterations(md.cv_iterations(train, cfg.cv_folds, lgb, features=md.fold_features(
+        cfg.categorical, cfg.numeric, nominal=True)))
+    members = md.in_parallel(spark, [
+        lambda s=s: md.boosted(dict(cfg.lgb_params, maxIter=lrounds, seed=s), style="lgb", max_bins=cbins).fit(ctr)
+        for s in cfg.seeds])
+    ens = md.ensemble_predictions(members, cte)
     results.append(metrics.regression_metrics(ens))
 
     allm = persist_table(metrics.union_results(results), "metrics")
     if allm.select("n_samples").distinct().count() > 1:
         raise RuntimeError("models of one comparison were scored on different rows")
+    for cached in (tr, te, ctr, cte):
+        cached.unpersist()
     out = {"metrics": metrics.rank_models(allm),
            "scored_rows": allm.select("model_name", "n_samples"),
            "improvement": metrics.improvement_over_baseline(allm),
@@ -202,19 +220,32 @@ def explore(requests: DataFrame, output: str | None = None) -> dict[str, DataFra
     return out
 
 
+def ablation_results(tr: DataFrame, te: DataFrame, names: list[str], experiments: list,
+                     forest_params: dict | None = None) -> list[DataFrame]:
+    """Metrics of one forest per feature set (name, categorical, numeric) over
+    one encoded table: each set is another vector of its columns (M15)."""
+    bins = md.code_bins(tr, names)
+
+    def run(name, cats, nums):
+        cols = [f"{c}_code" for c in cats] + list(nums)
+        m = md.random_forest(forest_params, bins).fit(assemble(tr.drop("features"), cols))
+        return metrics.regression_metrics(md.predict_days(m, assemble(te.drop("features"), cols), name))
+    return md.in_parallel(tr.sparkSession, [lambda e=e: run(*e) for e in experiments])
+
+
 def ablation(requests: DataFrame, experiments: list, cfg: CompareConfig | None = None,
              forest_params: dict | None = None, output: str | None = None) -> dict[str, DataFrame]:
     """One forest per feature set (name, categorical, numeric) on the
-    same split; results by MAE and the impact vs ``Full_Model``."""
+    same split, all from one encoded table; results by MAE and the impact vs
+    ``Full_Model``."""
     cfg = cfg or CompareConfig()
     rows, _ = prepare_requests(requests, cfg)
     train, test = split_rows(rows, cfg)
-    res = []
-    for name, cats, nums in experiments:
-        tr, (te,), _ = md.feature_table(train, [test], cats, nums)
-        m = md.random_forest(forest_params).fit(tr)
-        res.append(metrics.regression_metrics(md.predict_days(m, te, name)))
-    allm = metrics.union_results(res)
+    columns = [list(dict.fromkeys(c for e in experiments for c in e[i])) for i in (1, 2)]
+    tr, (te,), names = md.feature_table(train, [test], *columns)
+    tr, te = tr.cache(), te.cache()
+    allm = persist_table(metrics.union_results(ablation_results(tr, te, names, experiments, forest_params)), "ablation")
+    tr.unpersist(), te.unpersist()
     out = {"results": metrics.rank_models(allm), "impact": metrics.ablation_impact(allm, "Full_Model")}
     if output:
         for name, t in out.items():
@@ -223,29 +254,42 @@ def ablation(requests: DataFrame, experiments: list, cfg: CompareConfig | None =
 
 
 def variance(requests: DataFrame, seeds: list[int], cfg: CompareConfig | None = None,
-             forest_params: dict | None = None, boosted_rounds: int = 20, permutations: int = 8,
+             forest_params: dict | None = None, permutations: int = 8,
              output: str | None = None) -> dict[str, DataFrame]:
-    """Each model refitted per seed, trial summary (A23), pairwise
-    t-tests (A24), box statistics (A25/A26), attribution of the first model
-    of each kind (M17) as a Spark job."""
+    """Each model refitted per seed, boosted trees cut by the validation
+    slice; trial summary (A23), pairwise t-tests (A24), box statistics
+    (A25/A26), attribution of the first model of each kind (M17) as a Spark
+    job."""
     cfg = cfg or CompareConfig()
     rows, _ = prepare_requests(requests, cfg)
-    train, test = split_rows(rows, cfg)
-    tr, (te,), names = md.feature_table(train, [test], cfg.categorical, cfg.numeric)
-    tr, te = tr.cache(), te.cache()
-    trial_rows, first = [], {}
-    for seed in seeds:
-        for model_name, est in [("XGBoost", md.boosted({"maxIter": boosted_rounds, "seed": seed}, style="xgb")),
-                                ("RandomForest", md.random_forest(dict(forest_params or {}, seed=seed))),
-                                ("LightGBM", md.boosted({"maxIter": boosted_rounds, "seed": seed}, style="lgb"))]:
-            m = est.fit(tr)
-            first.setdefault(model_name, m)
-            met = metrics.regression_metrics(md.predict_days(m, te, model_name))
-            trial_rows.append(met.select(F.col("model_name").alias("model"), F.lit(seed).alias("seed"),
-                                         "mae", "rmse", "r2"))
+    train, val, test = split_slices(rows, cfg)
+    others = [test] if val is None else [test, val]
+
+    def frames(nominal: bool):
+        tr, (te, *va), names = md.feature_table(train, others, cfg.categorical, cfg.numeric, nominal=nominal)
+        return tr.cache(), te.cache(), va[0].cache() if va else None, names, md.code_bins(tr, names)
+    plain, nominal = frames(False), frames(True)
+    names = plain[3]
+
+    def run(model_name: str, seed: int):
+        tr, te, va, _, bins = nominal if model_name == "LightGBM" else plain
+        if model_name == "RandomForest":
+            m = md.random_forest(dict(forest_params or {}, seed=seed), bins).fit(tr)
+        else:
+            style, params = ("xgb", cfg.xgb_params) if model_name == "XGBoost" else ("lgb", cfg.lgb_params)
+            m = md.fit_validated(md.boosted(dict(params, seed=seed), style, bins), tr, va)
+        met = metrics.regression_metrics(md.predict_days(m, te, model_name))
+        return m, met.select(F.col("model_name").alias("model"), F.lit(seed).alias("seed"), "mae", "rmse", "r2")
+    kinds = ["XGBoost", "RandomForest", "LightGBM"]
+    fitted = md.in_parallel(requests.sparkSession, [lambda k=k, s=s: run(k, s) for s in seeds for k in kinds])
+    trial_rows, first = [r for _, r in fitted], dict(zip(kinds, (m for m, _ in fitted)))
     t = persist_table(reduce(lambda a, b: a.unionByName(b), trial_rows), "trials")
-    atts = [at.shapley(m, te, tr, names, permutations=permutations, model_name=k) for k, m in first.items()]
+    atts = [at.shapley(m, f[1], f[0], names, permutations=permutations, model_name=k) for k, m in first.items()
+            for f in [nominal if k == "LightGBM" else plain]]
     att = persist_table(reduce(lambda a, b: a.unionByName(b), atts), "attribution")
+    for cached in (*plain[:3], *nominal[:3]):
+        if cached is not None:
+            cached.unpersist()
     out = {"trials": t, "summary": trials.trial_summary(t), "ttests": trials.ttest_pairs(t),
            "box": trials.box_stats(t), "attribution": at.attribution_summary(att),
            "dependence": at.dependence(att, 3)}

@@ -52,7 +52,7 @@ def test_ablation_and_variance(req):
     a = jobs.ablation(req, ABLATIONS[:3], jobs.CompareConfig(**SMALL), forest_params={"numTrees": 5, "maxDepth": 4})
     assert a["results"].count() == 3 and a["impact"].count() == 2
     v = jobs.variance(req, [1, 2], jobs.CompareConfig(**SMALL), forest_params={"numTrees": 5, "maxDepth": 4},
-                      boosted_rounds=3, permutations=2)
+                      permutations=2)
     assert v["summary"].count() == 3
     assert v["ttests"].count() == 3
     assert v["attribution"].count() == 3 * 6
