@@ -5,9 +5,12 @@ its pieces best-fit decreasing. Nearly full sequences are final at once. The
 pieces of underfull ones go to the next round, where a tree of groups
 (``fan_in`` partitions, then ``fan_in`` groups, ...) packs them best-fit again
 until one group is left. Only piece records travel, never texts or ids, and a
-group passes on at most ``open_limit`` sequences (the emptiest); fuller ones
-beyond that are final as they are, so no task holds more than
-``fan_in * open_limit`` sequences however large the corpus is.
+group passes on at most ``open_limit`` sequences (the emptiest), so no task
+holds more than ``fan_in * open_limit`` sequences however large the corpus is.
+Fuller ones beyond that are spare: after the tree, the pieces of all spare
+sequences are packed together. What best-fit decreasing does depends only on
+how many pieces of each length there are, so the driver packs these counts and
+each piece finds its place by its rank among those of its length.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..session import persist_table
 from .common import keyed
@@ -29,12 +33,18 @@ from .common import keyed
 CAPACITY = 1024
 END_ID = 2
 PIECE = "_row bigint, doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, " \
-        "sequence_id bigint, offset bigint, grp bigint, open boolean"
+        "sequence_id bigint, offset bigint, grp bigint, open boolean, spare boolean"
 _FIELDS = [f.split()[0] for f in PIECE.split(", ")]
 _TYPES = {"int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_()}
 _SCHEMA = pa.schema([(f.split()[0], _TYPES[f.split()[1]]) for f in PIECE.split(", ")])
 
 
+#: Levels of sequence ids behind those of the tree: spare pieces packed by their
+#: counts, and sequences that a single piece fills.
+_BY_COUNT, _WHOLE = 126, 127
+#: Spare pieces of one length that are ranked in one task, about.
+_RANKED = 200_000
+
 _SPACE = re.compile(r"[\s\x1c-\x1f]").search
 
 
@@ -166,12 +176,13 @@ def _packed_rows(items: list[tuple], group: int, level: int, capacity: int, slac
     bins = best_fit(lengths, capacity)
     fill = [sum(lengths[i] for i in b) for b in bins]
     underfull = sorted((b for b in range(len(bins)) if fill[b] < capacity - slack), key=lambda b: (fill[b], b))
-    still_open = set(underfull[:open_limit])
+    still_open, spare = set(underfull[:open_limit]), set(underfull[open_limit:])
     out: dict[str, list] = defaultdict(list)
     for b, members in enumerate(bins):
         at = 0
         for i in members:
-            for k, v in zip(_FIELDS, (*items[i], (level << 56) | (group << 28) | b, at, group, b in still_open)):
+            for k, v in zip(_FIELDS, (*items[i], (level << 56) | (group << 28) | b, at, group, b in still_open,
+                                        b in spare)):
                 out[k].append(v)
             at += lengths[i]
     return out
@@ -214,9 +225,8 @@ def pack(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", text_col:
                     if n < capacity:
                         items.append((row, doc, piece, start, n, crc))
                         continue
-                    # level 127 is kept for sequences that a single piece fills
                     for k, v in zip(_FIELDS, (row, doc, piece, start, n, crc,
-                                              (127 << 56) | (group << 28) | number, 0, group, False)):
+                                              (_WHOLE << 56) | (group << 28) | number, 0, group, False, False)):
                         full[k].append(v)
                     number += 1
             if full:
@@ -226,23 +236,96 @@ def pack(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", text_col:
 
     table = persist_table(keyed(docs, doc_id=id_col, text=text_col).select(
         "_row", F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(leaf, PIECE), "packing")
-    done, level = [table.where(~F.col("open"))], 0
-    groups = table.where("open").agg(F.max("grp")).first()[0]
+    tables, level = [table], 0
+    groups, spare = _left(table)
     while groups is not None:
         level, last = level + 1, groups < fan_in
 
         merged = table.where("open").withColumn("grp", F.floor(F.col("grp") / fan_in).cast("bigint"))
         table = persist_table(merged.groupBy("grp").applyInArrow(
             _merger(level, capacity, slack, 0 if last else open_limit), PIECE), "packing")
-        done.append(table.where(~F.col("open")))
-        groups = None if last else table.where("open").agg(F.max("grp")).first()[0]
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
+        tables.append(table)
+        if last:  # what this one group leaves is spare, too; without others it is final
+            break
+        groups, more = _left(table)
+        spare = spare or more
+    every = tables[0]
+    for t in tables[1:]:
+        every = every.unionByName(t)
+    out = every.where("not open and not spare" if spare else "not open")
+    if spare:
+        out = out.select(*_FIELDS[:8]).unionByName(_pack_by_count(every.where("spare"), capacity))
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset",
                       F.col("_row").alias("row_key"))
 
 
+def _left(table: DataFrame) -> tuple[int | None, bool]:
+    """The last group with open pieces, and whether there are spare ones."""
+    groups, spare = table.agg(F.max(F.when(F.col("open"), F.col("grp"))), F.max("spare")).first()
+    return groups, bool(spare)
+
+
+def best_fit_counts(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, ...]], int]:
+    """Best-fit decreasing of ``counts[length]`` pieces, as ``best_fit`` does
+    it piece by piece. Bins of one gap are interchangeable, so ranges of them
+    are filled at once, in time and space that do not grow with the counts.
+
+    Returns runs and the number of bins. A run is ``length, first, each, bin,
+    offset``: the pieces of this length from rank ``first`` on lie in the bins
+    from ``bin`` on, ``each`` of them to a bin, behind ``offset``."""
+    gaps: dict[int, list[tuple[int, int]]] = defaultdict(list)  # ranges of bins by what is free
+    runs, bins = [], 0
+    for n in sorted(counts, reverse=True):
+        rank, total = 0, counts[n]
+        for gap in [*sorted(g for g in gaps if g >= n), capacity]:
+            each = gap // n
+            while rank < total:
+                if gap < capacity:
+                    if not gaps[gap]:
+                        break
+                    a, b = gaps[gap].pop()
+                else:
+                    a, b = bins, bins - (rank - total) // each
+                    bins = b
+                runs.append((n, rank, each, a, capacity - gap))
+                full, part = divmod(min(total - rank, (b - a) * each), each)
+                rank += full * each + part
+                for start, end, left in ((a, a + full, gap - each * n), (a + full, a + full + bool(part), gap - part * n),
+                                         (a + full + bool(part), b, gap)):
+                    if start < end and left:
+                        gaps[left].append((start, end))
+    return runs, bins
+
+
+def _pack_by_count(pieces: DataFrame, capacity: int) -> DataFrame:
+    """All ``pieces`` packed best-fit decreasing, in one round for any number
+    of them. No task holds all pieces of a length: each is ranked among those
+    of its length and share (by hash), behind the shares before."""
+    shares = 1 + pieces.count() // _RANKED
+    dealt = pieces.select(*_FIELDS[:6], F.expr(f"pmod(xxhash64(_row, piece), {shares})").alias("share"))
+    counts = persist_table(dealt.groupBy("length", "share").count(), "spare-counts")
+    total = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}
+    runs = np.array(sorted(best_fit_counts(total, capacity)[0]), np.int64)  # by length and rank
+    shared = pieces.sparkSession.sparkContext.broadcast(runs)
+    before = F.sum("count").over(Window.partitionBy("length").orderBy("share")) - F.col("count")
+    ranked = dealt.withColumn("rank", F.row_number().over(
+        Window.partitionBy("length", "share").orderBy("_row", "piece")) - 1) \
+        .join(counts.select("length", "share", before.alias("before")), ["length", "share"]) \
+        .select(*_FIELDS[:6], (F.col("before") + F.col("rank")).alias("rank"))
+
+    def place(batches):
+        length, first, each, start, offset = shared.value.T
+        for batch in batches:
+            n, rank = batch["length"].to_numpy(), batch["rank"].to_numpy()
+            run = np.searchsorted((length << 50) + first, (n << 50) + rank, "right") - 1
+            bins, at = np.divmod(rank - first[run], each[run])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:6], pa.array((_BY_COUNT << 56) | (start[run] + bins)), pa.array(offset[run] + at * n)],
+                _FIELDS[:8])
+
+    return ranked.mapInArrow(place, ", ".join(PIECE.split(", ")[:8]))
+
+
 def _merger(level: int, capacity: int, slack: int, open_limit: int):
     """One round of a group: its open pieces are packed anew."""
     def merge(key, rows):

@@ -1,6 +1,6 @@
 """Packing: ids, cuts, gapless sequences, and how many of them there are."""
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -79,3 +79,37 @@ def test_best_fit(lengths):
 @pytest.mark.parametrize("n,want", [(1, [(0, 1)]), (1024, [(0, 1024)]), (1025, [(0, 1), (1, 1024)])])
 def test_cut(n, want):
     assert packing.cut(n) == want
+
+
+@given(st.lists(st.integers(1, 1024), max_size=200))
+def test_best_fit_by_counts(lengths):
+    fill = sorted(sum(lengths[i] for i in b) for b in packing.best_fit(lengths))
+    runs, n_bins = packing.best_fit_counts(dict(Counter(lengths)))
+    places, ranks = defaultdict(list), Counter()
+    for n in sorted(lengths):
+        rank = ranks[n]
+        ranks[n] += 1
+        _, first, each, start, offset = max(r for r in runs if r[0] == n and r[1] <= rank)
+        places[start + (rank - first) // each].append((offset + (rank - first) % each * n, n))
+    assert sorted(places) == list(range(n_bins))
+    assert sorted(sum(n for _, n in spots) for spots in places.values()) == fill
+    for spots in places.values():
+        spots.sort()
+        assert [a for a, _ in spots] == [sum(n for _, n in spots[:k]) for k in range(len(spots))]
+
+
+def test_more_open_sequences_than_a_group_passes_on(spark, tmp_path, tokenizer, monkeypatch):
+    """Two partitions of complementary lengths: the ones over half full of one
+    only fit the short ones of the other."""
+    monkeypatch.setattr(packing, "_RANKED", 50)
+    texts = [" a" * (600 + i % 40) for i in range(150)], [" a" * (361 + i % 24) for i in range(150)]
+    for k, part in enumerate(texts):
+        spark.createDataFrame([(1000 * k + i, x) for i, x in enumerate(part)], "doc_id bigint, text string") \
+            .coalesce(1).write.mode("append").parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    want = [(1000 * k + i, pieces(tokenizer, x)) for k, part in enumerate(texts) for i, x in enumerate(part)]
+    n = {limit: check(packing.pack(docs, queries.tokenizer_json(), open_limit=limit).collect(), want)[0]
+         for limit in (4096, 20, 0)}
+    lengths = [p[2] for _, ps in want for p in ps]
+    assert n[4096] <= 1.02 * len(packing.best_fit(lengths))
+    assert n[20] <= 1.02 * n[4096] and n[0] <= 1.02 * n[4096]
