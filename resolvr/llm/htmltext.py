@@ -46,7 +46,10 @@ ARTICLE_NAMES = frozenset("article body content entry main post story text".spli
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
                   r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?(?:false|until))|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+#: Attributes that hide an element, and what their value has to be like.
+_HIDDEN = {"hidden": re.compile(r"(?!false|until)", re.I), "aria-hidden": re.compile(r"true", re.I),
+           "style": re.compile(r"(?:[^;]*;)*?\s*display\s*:\s*none\b", re.I)}
 _PART = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 #: Start tags that end an open element of these kinds, up to one of the fences.
 _CLOSES = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)),
@@ -54,6 +57,13 @@ _CLOSES = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)),
            "th": (("td", "th"), ("tr", "table")), "tbody": (("tr", "td", "th", "thead"), ("table",))}
 
 
+def hidden(attributes: str) -> bool:
+    """Whether a start tag's attributes hide its element: by their names, not
+    by words inside the value of a class or another attribute."""
+    return any(name.lower() in _HIDDEN and _HIDDEN[name.lower()].match(value.strip("\"' \t\n\f\r"))
+               for name, value in _ATTRIBUTE.findall(attributes))
+
+
 class Page:
     """Block elements in page order: ``parent`` (-1 for the root), ``tags``,
     ``names``; ``blocks`` are (element, text, characters inside links)."""
@@ -120,7 +130,7 @@ class Page:
                         break
         names = frozenset(p.lower() for v in _NAMES.findall(attributes) for p in _PART.findall(v)) if attributes \
             else frozenset()
-        if attributes and _HIDDEN.search(attributes):
+        if attributes and hidden(attributes):
             names |= {"overlay"}
         self.parent.append(stack[-1])
         stack.append(len(tags))

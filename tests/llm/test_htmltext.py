@@ -45,6 +45,23 @@ def test_small_pages(model, source, want):
         assert got == want
 
 
+@pytest.mark.parametrize("attributes", [
+    'class="overflow-hidden"', "class='hidden-xs clearfix'", 'style="overflow:hidden"', "style=overflow:hidden", 'data-x="hidden"',
+    'title="display:none"', 'data-hidden="1"', 'hidden="until-found"', 'aria-hidden="false"', 'style="--a:x;color:red"'])
+def test_words_in_attribute_values_hide_nothing(model, attributes):
+    page = f"<body><nav><p>Menu</p></nav><article><p>First of it.</p><div {attributes}><p>Words</p><p>Short one.</p></div></article>"
+    assert model.text(page) == "First of it. Words Short one."
+    assert ht.labels(ht.Page(page))[-3:] == [1, 1, 1]
+
+
+@pytest.mark.parametrize("attributes", [
+    "hidden", "HIDDEN class=a", 'class="a" hidden=""', "hidden=hidden", 'style="color:red; Display : none"', "style=display:none",
+    "aria-hidden='true'"])
+def test_hidden_elements(model, attributes):
+    page = f"<body><article><p>First of it.</p><div {attributes}><p>Words</p></div></article>"
+    assert ht.labels(ht.Page(page))[-2:] == [0, 0]
+
+
 def test_deep_and_broken_markup(model):
     assert isinstance(model.text("<div>" * 5000 + "x" + "</p>" * 100), str)
     assert isinstance(model.text("<a href='" + "x" * 20000 + "<p>" * 200), str)
