@@ -28,10 +28,23 @@ TRAIN_PAGES = 200
 # HTML element kinds and names that pages give to their parts.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s "
                    "samp small span strike strong sub sup time tt u var wbr img".split())
+# Formulas and drawings are part of the line they stand in; their parts make no elements of the tree.
+INLINE |= frozenset(
+    "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose mfenced msub msup "
+    "msubsup munder mover munderover mmultiscripts mprescripts none mtable maction semantics annotation annotation-xml "
+    "svg g defs symbol use switch path rect circle ellipse line polyline polygon tspan textpath image marker pattern "
+    "mask clippath lineargradient radialgradient stop filter view metadata animate animatemotion animatetransform mpath "
+    "set feblend fecolormatrix fecomponenttransfer fecomposite feconvolvematrix fediffuselighting fedisplacementmap "
+    "fedistantlight fedropshadow feflood fefunca fefuncb fefuncg fefuncr fegaussianblur feimage femerge femergenode "
+    "femorphology feoffset fepointlight fespecularlighting fespotlight fetile feturbulence".split())
+#: Tags that end a line of text and make no element: rows and cells of formulas, labels of drawings.
+LINES = frozenset("mtr mlabeledtr mtd text desc foreignobject".split())
+#: Elements with text for those who cannot see the rest. HTML lets them stand inside a paragraph; they are elements of
+#: the tree where they have names, else their text is that of the element around them.
+EMBEDDED = frozenset("noscript object video audio canvas iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea iframe svg math title object canvas video audio select "
-                "button".split())
-BOILERPLATE_TAGS = frozenset("nav header footer aside form menu dialog fieldset head figcaption".split())
+RAW = frozenset("script style template textarea title select button".split())
+BOILERPLATE_TAGS = frozenset("nav header footer aside form menu dialog fieldset head".split())
 ARTICLE_TAGS = frozenset(["article", "main"])
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 TEXT_TAGS = frozenset("p blockquote pre dd figure".split())
@@ -113,11 +126,17 @@ class Page:
             self._link = self._link or tag == "a"
             return
         self._flush()
-        if tag in VOID:
+        if tag in VOID or tag in LINES:
+            return
+        names = frozenset(p.lower() for v in _NAMES.findall(attributes) for p in _PART.findall(v)) if attributes \
+            else frozenset()
+        if attributes and hidden(attributes):
+            names |= {"overlay"}
+        if tag in EMBEDDED and (not names or attributes.endswith("/")):
             return
         self._link = False
         tags, stack = self.tags, self._stack
-        if tags[stack[-1]] == "p" or tag in HEADINGS and tags[stack[-1]] in HEADINGS:
+        if tags[stack[-1]] == "p" and tag not in EMBEDDED or tag in HEADINGS and tags[stack[-1]] in HEADINGS:
             stack.pop()
         if tag in _CLOSES:
             ends, fences = _CLOSES[tag]
@@ -128,10 +147,6 @@ class Page:
                     del stack[k:]
                     if tag not in ("tr", "tbody"):
                         break
-        names = frozenset(p.lower() for v in _NAMES.findall(attributes) for p in _PART.findall(v)) if attributes \
-            else frozenset()
-        if attributes and hidden(attributes):
-            names |= {"overlay"}
         self.parent.append(stack[-1])
         stack.append(len(tags))
         tags.append(tag)

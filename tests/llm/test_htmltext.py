@@ -62,6 +62,26 @@ def test_hidden_elements(model, attributes):
     assert ht.labels(ht.Page(page))[-2:] == [0, 0]
 
 
+@pytest.mark.parametrize("part,want", [
+    ("<p>So <math><mrow><msup><mi>a</mi><mn>2</mn></msup><mo>=</mo><mn>9</mn></mrow></math> holds.</p>", "So a2=9 holds."),
+    ("<p>Sum <math><mtable><mtr><mtd>1</mtd><mtd>2</mtd></mtr></mtable></math> up.</p>", "Sum 1 2 up."),
+    ("<noscript><p>The chart shows a rise.</p></noscript>", "The chart shows a rise."),
+    ("<p>Before it <noscript>the plain text</noscript> and after it.</p>", "Before it the plain text and after it."),
+    ("<figure><img src=a><figcaption>A bridge in winter.</figcaption></figure>", "A bridge in winter."),
+    ("<video controls><source src=a><p>A film of the bridge.</p></video>", "A film of the bridge."),
+    ("<audio>A talk on bridges.</audio><canvas>Three towers.</canvas>", "A talk on bridges. Three towers."),
+    ("<object data=a class=chart><p>A table of spans.</p></object>", "A table of spans."),
+    ("<iframe src=a>A map of the river.</iframe>", "A map of the river."),
+    ("<svg><title>no</title><g><path d='M0'/><text>North</text><text>South</text></g></svg>", "North South"),
+    ("<p>See <a href=/>there<svg><path d=''/></svg></a>.</p>", "See there."),
+    ("<form><select><option>no</select><button>no</button><textarea>no</textarea></form>", ""),
+    ("<object class=ad><p>Buy now.</p></object><div hidden><noscript>no</noscript></div>", ""),
+])
+def test_text_of_other_elements(model, part, want):
+    around = "<body><nav><p>Menu</p></nav><article><h1>Title</h1><p>First of it.</p>{}<p>Last of it.</p></article></body>"
+    assert model.text(around.format(part)) == " ".join(f"Title First of it. {want} Last of it.".split())
+
+
 def test_deep_and_broken_markup(model):
     assert isinstance(model.text("<div>" * 5000 + "x" + "</p>" * 100), str)
     assert isinstance(model.text("<a href='" + "x" * 20000 + "<p>" * 200), str)
