@@ -25,10 +25,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest
-    id. Rows are told apart by their place in the stored table."""
-    extra = persist_table(simhash.near_duplicates(docs).where(~F.col("keep")).select("row_key"), "copies")
-    return docs.withColumn("_row", F.monotonically_increasing_id()) \
-        .join(extra, F.col("_row") == F.col("row_key"), "left_anti").select(*docs.columns)
+    id. Rows are told apart by a key that is stored with them: another scan
+    may split the files differently and number other rows."""
+    key = "_row"
+    while key in map(str.lower, docs.columns):
+        key += "_"
+    stored = persist_table(docs.withColumn(key, F.monotonically_increasing_id()), "numbered")
+    extra = persist_table(simhash.near_duplicates(stored, row_col=key).where(~F.col("keep"))
+                          .select(F.col("row_key").alias(key)), "copies")
+    return stored.join(extra, key, "left_anti").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

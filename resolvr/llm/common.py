@@ -16,8 +16,9 @@ SLICE_BYTES = 1 << 20
 
 def keyed(df: DataFrame, **cols: str) -> DataFrame:
     """``_row`` (a key of each row of a stored table: partition number and
-    place in it, the same in every scan) plus ``new=old`` columns. Other
-    columns are left behind, so clashing names cannot matter."""
+    place in it) plus ``new=old`` columns. Other columns are left behind, so
+    clashing names cannot matter. Only scans that split the files alike give
+    the same keys: what is joined to the rows again needs a stored key."""
     return df.select(F.monotonically_increasing_id().alias("_row"),
                      *[F.col(f"`{old}`").alias(new) for new, old in cols.items()])
 

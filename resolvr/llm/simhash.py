@@ -53,14 +53,18 @@ def fingerprint(text: bytes | None, shingle: int = 4) -> int:
     return int(bits.view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """``_row, doc_id, fp`` of every row of a stored table, no shuffle."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4,
+                 row_col: str | None = None) -> DataFrame:
+    """``_row, doc_id, fp`` of every row of a stored table, no shuffle;
+    ``_row`` is ``row_col``, or without one numbered in this scan."""
     def run(batches):
         for batch in batches:
             fps = [fingerprint(t, shingle) for t in as_bytes(batch["text"])]
             yield pa.RecordBatch.from_arrays([batch["_row"], batch["doc_id"], pa.array(fps, pa.int64())],
                                              ["_row", "doc_id", "fp"])
-    rows = keyed(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    rows = keyed(docs, doc_id=id_col, text=text_col) if row_col is None else docs.select(
+        *[F.col(f"`{old}`").alias(new) for new, old in (("_row", row_col), ("doc_id", id_col), ("text", text_col))])
+    rows = rows.withColumn("doc_id", F.col("doc_id").cast("bigint"))
     return rows.mapInArrow(run, "_row bigint, doc_id bigint, fp bigint")
 
 
@@ -122,19 +126,21 @@ def links(fps: DataFrame, max_distance: int = 4) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4,
-                    max_distance: int = 4) -> DataFrame:
+                    max_distance: int = 4, row_col: str | None = None) -> DataFrame:
     """Fingerprint and component of every row of a stored table.
 
     Returns ``doc_id, fingerprint, component_id, keep, row_key``:
     ``component_id`` is the smallest id reachable over links, ``keep`` marks
     one row of each component (its smallest id; of repeated rows the first).
+    ``row_key`` is the stored key ``row_col`` (bigint, unique), by which the
+    result can be joined to ``docs``; without one it only tells rows apart.
     Null and empty texts have fingerprint zero and are linked like any other;
     rows without an id take part and are kept only where no member has one
     (``component_id`` is null then). Exact copies share a fingerprint, so
     links are made between distinct fingerprints only. An empty table gives
     no rows.
     """
-    fps = persist_table(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    fps = persist_table(fingerprints(docs, id_col, text_col, shingle, row_col), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("_row"))).alias("first")
     distinct = persist_table(fps.groupBy("fp").agg(first), "distinct-fingerprints")
     roots = connected_components(links(distinct.select("fp"), max_distance))

@@ -1,6 +1,6 @@
 """The pipeline against plain versions of its stages."""
 import corpus_pipeline as cp
-from resolvr.llm import packing, pii, queries
+from resolvr.llm import packing, pii, queries, simhash
 from resolvr.session import persist_table
 
 from .conftest import SF
@@ -45,6 +45,30 @@ def test_edge_rows(spark, edge, nothing):
     assert packing.pack(docs, queries.tokenizer_json()).count() == 0
 
 
+def test_near_dedup_when_scans_split_the_files_differently(spark, documents, monkeypatch):
+    """The conf stands for executors that come or go between two scans."""
+    docs = persist_table(documents.selectExpr("*", "0 AS _row", "0 AS row_key").union(
+        documents.selectExpr("*", "1 AS _row", "1 AS row_key").limit(20)).repartition(6, "doc_id"), "docs")
+    found, conf = simhash.near_duplicates, "spark.sql.files.maxPartitionBytes"
+
+    def then_other_splits(*args, **more):
+        out = persist_table(found(*args, **more), "found")
+        spark.conf.set(conf, "128m")
+        return out
+
+    monkeypatch.setattr(simhash, "near_duplicates", then_other_splits)
+    before = spark.conf.get(conf)
+    try:
+        got = sorted(r.doc_id for r in cp.near_dedup(spark, docs, SF).collect())
+    finally:
+        spark.conf.set(conf, before)
+    fps = {r.doc_id: plain_fingerprint(r.text) for r in docs.collect()}
+    root, first = plain_components(fps.values(), 4), {}
+    for d in sorted(fps):
+        first.setdefault(root[fps[d]], d)
+    assert got == sorted(first.values())
+
+
 def test_registered():
     import __spark_entry__ as entry
     assert [n for n, _ in cp.STAGES] == ["language_id", "near_dedup", "decontaminate", "redact", "pack"]
