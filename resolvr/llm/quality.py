@@ -24,18 +24,26 @@ BUCKETS = 256
 TRAIN_DOCS = 10_000
 _RUNS = ((re.compile(r"[a-zß-öø-ÿ]+"), "a"), (re.compile(r"[A-ZÀ-ÖØ-Þ]+"), "A"), (re.compile(r"[0-9]+"), "9"))
 _DENSE = 4
+#: Characters of a word; a longer run counts as several words.
+LONGEST = 24
 
 
 def shape(word: str) -> str:
     """Lower-case runs as ``a``, capitals as ``A``, digits as ``9``; other
-    characters stay. Words beyond 24 characters count by their ends."""
-    if len(word) > 24:
-        word = word[:12] + word[-12:]
+    characters stay."""
     for pattern, mark in _RUNS:
         word = pattern.sub(mark, word)
     return word
 
 
+def pieces(words: list[str]) -> list[str]:
+    """Words of at most 24 characters as they are, longer runs (texts without
+    spaces) whole, in consecutive pieces of 24."""
+    if max(map(len, words), default=0) <= LONGEST:
+        return words
+    return [w[i:i + LONGEST] for w in words for i in range(0, len(w), LONGEST)]
+
+
 def _slot(word: str) -> int:
     h = 2166136261
     for b in shape(word).encode():
@@ -48,8 +56,7 @@ class _Slots(dict):
         if len(self) >= 300_000:
             self.clear()
         n = _slot(word)
-        if len(word) <= 48:
-            self[word] = n
+        self[word] = n
         return n
 
 
@@ -60,8 +67,9 @@ def features(texts: list[str | None], slots: _Slots) -> np.ndarray:
     for i, t in enumerate(texts):
         words = (t or "").split()
         if words:
-            n = np.bincount(np.fromiter(map(slots.__getitem__, words), np.int64, len(words)), minlength=BUCKETS)
-            out[i, :BUCKETS] = np.sqrt(n / len(words))
+            parts = pieces(words)
+            n = np.bincount(np.fromiter(map(slots.__getitem__, parts), np.int64, len(parts)), minlength=BUCKETS)
+            out[i, :BUCKETS] = np.sqrt(n / len(parts))
             lines = [x for x in t.split("\n") if x.strip()]
             out[i, BUCKETS] = 1 - len(set(lines)) / len(lines) if lines else 0
             out[i, BUCKETS + 1] = min(sum(map(len, words)) / len(words) / 10, 3)

@@ -32,3 +32,10 @@ def test_edge_rows(edge, nothing, spark):
     assert got.count() == 11
     assert {r.quality for r in quality.score(edge, labels.where("false"), F.lit("h"), F.lit("p")).collect()} == {0.5}
     assert quality.score(nothing, labels, F.col("lang"), F.col("lang")).count() == 0
+
+
+def test_long_runs_are_read_whole():
+    ends = "begin" * 3, "close" * 3
+    a, b = quality.features([ends[0] + "x" * 200 + ends[1], ends[0] + "#7$" * 67 + ends[1]], quality._Slots())
+    assert (a[:quality.BUCKETS] != b[:quality.BUCKETS]).any()
+    assert quality.pieces(["ab", "x" * 24 + "y" * 24 + "z"]) == ["ab", "x" * 24, "y" * 24, "z"]
