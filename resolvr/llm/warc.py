@@ -48,7 +48,7 @@ def resolve_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "
         .withColumn("digest", F.sha1(F.col("payload").cast("binary")))
     copies = rows.where(F.octet_length("payload") >= min_bytes).groupBy("digest").agg(
         F.max(F.struct(F.coalesce("page_id", F.lit(-(1 << 63))).alias("order"), F.col("_row"), F.col("page_id"),
-                       F.substring("url", 1, 2000).alias("url"))).alias("original"), F.count("*").alias("n")) \
+                       F.col("url"))).alias("original"), F.count("*").alias("n")) \
         .where("n > 1").select("digest", "original")
     other = F.col("original").isNotNull() & (F.col("original._row") != F.col("_row"))
     return rows.join(copies, "digest", "left").select(

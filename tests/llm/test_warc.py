@@ -42,6 +42,17 @@ def test_round_trip(spark, pages, tmp_path):
     assert first.startswith(b"WARC/1.1\r\nWARC-Type: re") and first.endswith(b"\r\n\r\n")
 
 
+def test_long_urls_of_originals_stay_whole(spark, tmp_path):
+    url = "http://e/" + "a/" * 2500
+    rows = [(1, "http://e/1", "z" * 1200), (2, url, "z" * 1200)]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(str(tmp_path / "pages"))
+    records = warc.resolve_revisits(spark.read.parquet(str(tmp_path / "pages")))
+    assert {r.page_id: r.refers_url for r in records.collect()} == {1: url, 2: None}
+    warc.write_archives(records, str(tmp_path / "archives"))
+    texts = b"".join(gzip.open(f).read() for f in (tmp_path / "archives").glob("*.gz")).decode()
+    assert f"\r\nWARC-Refers-To-Target-URI: {url}\r\n" in texts
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
     got = {r.page_id: r for r in queries.op9_warc_revisits(spark, sf).collect()}
