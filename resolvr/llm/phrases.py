@@ -1,18 +1,20 @@
 """Collocations of two to four words, mined by SON partitioning.
 
 Rows are dealt to ``shards`` by a hash of their content. A phrase with
-``support`` occurrences in a language has at least ``support * n_s / n`` of them
-in one shard, where the shard holds ``n_s`` of the language's ``n`` words, so
-each shard is mined completely at that lower support, level by level: words,
-then pairs of locally frequent words, then runs of three and four whose pairs are
-all locally frequent. The union of what is frequent in any shard is then counted
-over all shards, by the phrases themselves.
-
-The local counts go by 64-bit hashes; two phrases with one hash can only add a
-candidate. A task learns the candidates of the level below from a bitmap of
-their hashes of at most ``MAX_BITS`` bits, so what is broadcast does not grow
-with the corpus; a phrase that is let through by chance is counted, too, and
-fails the support. Counts are summed within a task before they are shuffled.
+``support`` occurrences in a language has at least ``support / shards`` of them in
+one shard, whatever the shards' sizes, so each shard is mined completely at that
+lower support, level by level: words, then pairs of locally frequent words, then
+runs of three and four whose pairs are all locally frequent. The union of what
+is frequent in any shard is then counted over all shards, by the phrases
+themselves.
+
+A shard is a share of the corpus, not of a task's size, as a support divided by
+the number of tasks would soon be one. Its counts go by 64-bit hashes (of a
+phrase with its language); two phrases with one hash can only add a candidate. A
+task learns the candidates of the level below from a bitmap of their hashes of
+at most ``MAX_BITS`` bits, so what is broadcast does not grow with the corpus; a
+phrase that is let through by chance is counted, too, and fails the support.
+Counts are summed within a task before they are shuffled.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from .common import as_bytes, slices
 #: Bits of the largest bitmap (16 MB); smaller candidate sets get 32 bits each.
 MAX_BITS = 1 << 27
 #: Text bytes that a task counts at a time.
-SLICE = 4 << 20
+SLICE = 2 << 20
 _KIND = np.zeros(256, np.int8)  # 0: in a word, 1: between words, 2: between pieces
 _KIND[[0x20, 0x09]] = 1
 _KIND[[ord(c) for c in ".,;:!?\x0a\x0b\x0c\x0d"]] = 2
@@ -72,17 +74,20 @@ class Slice:
         np.cumsum(e - s, out=offsets[1:])
         found = pa.Array.from_buffers(pa.large_binary(), len(s), [None, pa.py_buffer(offsets), pa.py_buffer(buf[inside])]) \
             .dictionary_encode()
-        code = found.indices.to_numpy().astype(np.int64) * groups + group[owner]
-        known, self.word, self.count = np.unique(code, return_inverse=True, return_counts=True)
-        self.words, self.group = found.dictionary.take(pa.array(known // groups)), known % groups
+        code = found.indices.to_numpy() * np.int64(groups) + group[owner]
+        count = np.bincount(code, minlength=len(found.dictionary) * groups)
+        known = np.flatnonzero(count)
+        self.word, self.count = (np.cumsum(count > 0) - 1)[code], count[known]
+        self.texts, self.text_of, self.group = found.dictionary, known // groups, known % groups
 
     def pairs(self, good: np.ndarray) -> None:
         """Numbers of the pairs of ``good`` words, by their first word's
         place; -1 elsewhere."""
-        w, n = self.word, max(1, len(self.words))
+        w, n = self.word, max(1, len(self.text_of))
         at = np.flatnonzero(self.next[:-1] & good[w[:-1]] & good[w[1:]]) if len(w) else np.zeros(0, np.int64)
-        known, number, self.pair_count = np.unique(w[at] * n + w[at + 1], return_inverse=True, return_counts=True)
-        self.first, self.second = known // n, known % n
+        found = pa.array(w[at] * n + w[at + 1]).dictionary_encode()
+        known, number = found.dictionary.to_numpy(), found.indices.to_numpy()
+        self.first, self.second, self.pair_count = known // n, known % n, np.bincount(number, minlength=len(known))
         self.pair = np.full(len(w) + 2, -1, np.int64)
         self.pair[at] = number
 
@@ -90,7 +95,7 @@ class Slice:
         """Runs of three, then four words whose pairs are all ``good``: word
         numbers (one row per distinct run) and counts."""
         ok = np.append(good, False)[self.pair]  # -1 picks the last
-        n, m = max(1, len(self.words)), max(1, len(self.first))
+        n, m = max(1, len(self.text_of)), max(1, len(self.first))
         at = np.flatnonzero(ok[:-1] & ok[1:])
         known, count = np.unique(self.pair[at] * n + self.second[self.pair[at + 1]], return_counts=True)
         p = known // n
@@ -113,11 +118,32 @@ def _slices(batch, limit: int) -> Iterator[tuple[Slice, list]]:
         yield Slice(texts[a:b], np.array([number[x] for x in of], np.int64), len(names)), names
 
 
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _text_hashes(words: pa.LargeBinaryArray) -> np.ndarray:
+    """A 64-bit polynomial of the bytes of each word, modulo 2**64: running
+    sums of bytes times powers of an odd number, shifted back by its inverse."""
+    _, offsets, data = words.buffers()
+    ends = np.frombuffer(offsets, np.int64)[words.offset:words.offset + len(words) + 1]
+    text = np.frombuffer(data, np.uint8)[ends[0]:ends[-1]].astype(np.uint64) if len(words) else np.zeros(0, np.uint64)
+    if len(_powers[0]) <= len(text):
+        for i, base in enumerate((int(_P), pow(int(_P), -1, 1 << 64))):
+            table = np.full(max(2 * len(text), 1 << 18), base, np.uint64)
+            table[0] = 1
+            _powers[i] = np.cumprod(table)
+    total = np.zeros(len(text) + 1, np.uint64)
+    np.cumsum((text + np.uint64(1)) * _powers[0][:len(text)], out=total[1:])
+    at = ends - ends[0]
+    h = (total[at[1:]] - total[at[:-1]]) * _powers[1][at[:-1]]
+    return (h ^ (h >> np.uint64(29))) * _Q
+
+
 def _hash(x: Slice, names: list) -> np.ndarray:
     """Hash of each word with its language, the same in every task."""
-    of = [xxhash.xxh64_intdigest(lang.encode()) for lang, _ in names]
-    return np.fromiter((xxhash.xxh64_intdigest(w, of[g]) for w, g in zip(x.words.to_pylist(), x.group.tolist())),
-                       np.uint64, len(x.words))
+    of = np.array([xxhash.xxh64_intdigest(lang.encode()) for lang, _ in names], np.uint64)
+    h = (_text_hashes(x.texts)[x.text_of] ^ of[x.group]) * _P
+    return h ^ (h >> np.uint64(32))
 
 
 def _run_hash(word: np.ndarray, runs) -> np.ndarray:
@@ -133,23 +159,22 @@ def _in(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
     return ((bitmap[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
 
 
-LOCAL = "shard int, lang string, h bigint, c bigint"
+LOCAL = "shard int, h bigint, c bigint"
 
 
 def _rows(group: np.ndarray, names: list, h: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
-    pick = pa.array(group)
-    return pa.RecordBatch.from_arrays(
-        [pa.array([s for _, s in names], pa.int32()).take(pick), pa.array([x for x, _ in names], pa.string()).take(pick),
-         pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], ["shard", "lang", "h", "c"])
+    shard = np.array([s for _, s in names], np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(shard[group]), pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))],
+                                      ["shard", "h", "c"])
 
 
 def _local(texts: DataFrame, count) -> DataFrame:
-    """Occurrences by shard, language and hash."""
+    """Occurrences by shard and hash."""
     def run(batches):
         for batch in batches:
             for x, names in _slices(batch, SLICE):
                 yield from count(x, names)
-    return texts.mapInArrow(run, LOCAL).groupBy("shard", "lang", "h").agg(F.sum("c").alias("c"))
+    return texts.mapInArrow(run, LOCAL).groupBy("shard", "h").agg(F.sum("c").alias("c"))
 
 
 def _wide(c) -> Column:
@@ -157,11 +182,10 @@ def _wide(c) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("decimal(19,0)")
 
 
-def _frequent_somewhere(local: DataFrame, sizes: DataFrame, support: int) -> np.ndarray:
+def _frequent_somewhere(local: DataFrame, support: int, shards: int) -> np.ndarray:
     """Bitmap of the hashes that are frequent in any shard at its share of
     the support."""
-    kept = persist_table(local.join(sizes, ["lang", "shard"])
-                         .where(_wide("c") * _wide("n") >= F.lit(support) * _wide("n_s")).select("h"), "frequent-local")
+    kept = persist_table(local.where(F.col("c") * shards >= support).select("h"), "frequent-local")
     n = kept.count()
     bits = min(MAX_BITS, 1 << max(15, (32 * n - 1).bit_length()))
     place = F.col("h").bitwiseAND(F.lit(bits - 1)) + 1  # Spark's bitmaps count from one
@@ -174,7 +198,7 @@ def _frequent_somewhere(local: DataFrame, sizes: DataFrame, support: int) -> np.
 
 
 def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", support: int = 30,
-                     shards: int = 4) -> tuple[DataFrame, DataFrame]:
+                     shards: int = 3) -> tuple[DataFrame, DataFrame]:
     """``lang, phrase, k, f`` (stored): every phrase of up to four words
     with at least ``support`` occurrences in its language, counted exactly; and
     ``lang, n``: words per language."""
@@ -186,17 +210,14 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     def words(x, names):
         yield _rows(x.group, names, _hash(x, names), x.count)
 
-    local = persist_table(_local(texts, words), "words-local")
-    sizes = local.groupBy("lang", "shard").agg(F.sum("c").alias("n_s"))
-    sizes = persist_table(sizes.withColumn("n", F.sum("n_s").over(Window.partitionBy("lang"))), "shard-sizes")
-    known = spark.sparkContext.broadcast(_frequent_somewhere(local, sizes, support))
+    known = spark.sparkContext.broadcast(_frequent_somewhere(_local(texts, words), support, shards))
 
     def pairs(x, names):
         h = _hash(x, names)
         x.pairs(_in(known.value, h))
         yield _rows(x.group[x.first], names, _run_hash(h, (x.first, x.second)), x.pair_count)
 
-    known_pairs = spark.sparkContext.broadcast(_frequent_somewhere(_local(texts, pairs), sizes, support))
+    known_pairs = spark.sparkContext.broadcast(_frequent_somewhere(_local(texts, pairs), support, shards))
 
     def runs(x, names):
         h = _hash(x, names)
@@ -204,11 +225,11 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
         for run, count in x.longer(_in(known_pairs.value, _run_hash(h, (x.first, x.second)))):
             yield _rows(x.group[run[0]], names, _run_hash(h, run), count)
 
-    known_runs = spark.sparkContext.broadcast(_frequent_somewhere(_local(texts, runs), sizes, support))
+    known_runs = spark.sparkContext.broadcast(_frequent_somewhere(_local(texts, runs), support, shards))
 
     def exact(batches):
         def rows(x, names, run, count):
-            phrase = [x.words.take(pa.array(w)).cast(pa.large_string()) for w in run]
+            phrase = [x.texts.take(pa.array(x.text_of[w])).cast(pa.large_string()) for w in run]
             lang = pa.array([a for a, _ in names], pa.string()).take(pa.array(x.group[run[0]]))
             return pa.RecordBatch.from_arrays(
                 [lang, pc.binary_join_element_wise(*phrase, pa.scalar(" ", pa.large_string())).cast(pa.string()),
@@ -219,6 +240,10 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
             for x, names in _slices(batch.set_column(2, "shard", pa.array([0] * len(batch), pa.int32())), SLICE):
                 h = _hash(x, names)
                 ok = _in(known.value, h)
+                n = np.bincount(x.group, weights=x.count, minlength=len(names)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([a for a, _ in names]), pa.array([None] * len(n), pa.string()),
+                     pa.array(np.zeros(len(n), np.int32)), pa.array(n)], ["lang", "phrase", "k", "c"])
                 x.pairs(ok)
                 pair = _run_hash(h, (x.first, x.second))
                 good = _in(known_pairs.value, pair)
@@ -229,12 +254,13 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
                     yield rows(x, names, run[:, kept], count[kept])
 
     found = texts.mapInArrow(exact, "lang string, phrase string, k int, c bigint") \
-        .groupBy("lang", "phrase", "k").agg(F.sum("c").alias("f")).where(F.col("f") >= support)
-    return persist_table(found, "phrases"), sizes.select("lang", "n").distinct()
+        .groupBy("lang", "phrase", "k").agg(F.sum("c").alias("f")).where((F.col("f") >= support) | (F.col("k") == 0))
+    found = persist_table(found, "phrases")
+    return found.where("k > 0"), found.where("k = 0 and f > 0").select("lang", F.col("f").alias("n"))
 
 
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", support: int = 30, top: int = 2000,
-                 contained: int = 80, shards: int = 4) -> DataFrame:
+                 contained: int = 80, shards: int = 3) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score``: the ``top`` collocations of
     each language.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import persist_table, scratch_path
 from ..sources.tables import read_table
-from . import decontam, htmltext, idfile, langid, packing, phrases, pii, quality, simhash, topk, warc, wordpiece
+from . import decontam, hardneg, htmltext, idfile, langid, packing, phrases, pii, quality, simhash, topk, warc, wordpiece
 
 
 def tokenizer_json() -> str:
@@ -85,6 +85,11 @@ def op11_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfile.starts(found).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.hard_negatives(read_table(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0, label)
+
+
 def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(read_table(spark, sf_dir, "documents"))
 
@@ -92,5 +97,5 @@ def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_simhash_near_dedup, op3_exact_top_k, op4_quality_classifier, op5_token_counts,
     op6_language_id, op7_personal_data, op8_benchmark_decontamination, op9_warc_revisits, op10_html_extraction,
-    op11_token_id_files, op13_phrase_collocations)}
+    op11_token_id_files, op12_hard_negatives, op13_phrase_collocations)}
 ORACLE: dict[str, str] = {}

@@ -100,9 +100,7 @@ def test_counts_beyond_64_bit_products(spark, monkeypatch):
 def test_bitmap_holds_every_hash(spark):
     h = np.random.default_rng(1).integers(-2 ** 63, 2 ** 63, 3000)
     h[:3] = 0, -1, 32768
-    local = spark.createDataFrame([(0, "en", int(x), 9) for x in h], phrases.LOCAL)
-    sizes = spark.createDataFrame([("en", 0, 10, 10)], "lang string, shard int, n_s bigint, n bigint")
-    bitmap = phrases._frequent_somewhere(local, sizes, 5)
+    bitmap = phrases._frequent_somewhere(spark.createDataFrame([(0, int(x), 9) for x in h], phrases.LOCAL), 30, 4)
     assert phrases._in(bitmap, h.view(np.uint64)).all()
     other = np.random.default_rng(2).integers(0, 2 ** 63, 3000).view(np.uint64)
     assert phrases._in(bitmap, other).mean() < 0.1
