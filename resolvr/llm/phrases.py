@@ -65,8 +65,8 @@ class Slice:
         lens = np.fromiter(map(len, texts), np.int64, len(texts))
         kind = _KIND[buf]
         inside = kind == 0
-        edge = np.diff(inside.view(np.int8), prepend=0, append=0)
-        s, e = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        turns = np.flatnonzero(np.append(inside, False) != np.append(False, inside))
+        s, e = turns[::2], turns[1::2]
         piece = np.cumsum(kind == 2, dtype=np.int32)[s]
         self.next = np.append(piece[1:] == piece[:-1], False)[:len(s)]
         owner = np.searchsorted(np.cumsum(lens + 1) - lens - 1, s, "right") - 1
