@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.labels import CHART_MODELS
 from ..operators import attribution as at
 from ..operators import baselines as bl
+from ..operators import boosting as bo
 from ..operators import clean, joins, metrics, models as md, profile, split, trials
 from ..operators.encode import assemble
 from ..schemas import CATEGORICAL, TEMPORAL, WEATHER_NUMERIC
@@ -131,10 +132,9 @@ def compare_models(requests: DataFrame, cfg: CompareConfig | None = None,
     tr, te = tr.cache(), te.cache()
     bins = md.code_bins(tr, names)
 
-    xgb = md.boosted(cfg.xgb_params, style="xgb", max_bins=bins)
-    rounds = md.mean_iterations(md.cv_iterations(train, cfg.cv_folds, xgb, features=md.fold_features(
-        cfg.categorical, cfg.numeric)), "xgb")
-    xgb_model = md.boosted(dict(cfg.xgb_params, maxIter=rounds), style="xgb", max_bins=bins).fit(tr)
+    xgb = bo.with_overrides(bo.XGB, cfg.xgb_params)
+    rounds = md.mean_iterations(bo.cv_iterations(tr, names, xgb, cfg.cv_folds), "xgb")
+    (xgb_model,) = bo.fit(tr, names, bo.with_overrides(xgb, {"maxIter": rounds}), [42])
     results.append(metrics.regression_metrics(md.predict_days(xgb_model, te, "XGB_Conservative")))
 
     rf = md.random_forest(cfg.forest_params, bins).fit(tr)
@@ -143,13 +143,10 @@ def compare_models(requests: DataFrame, cfg: CompareConfig | None = None,
     # the second style takes the dictionary columns as categories, in its folds as in its fits
     ctr, (cte,), _ = md.feature_table(train, [test], cfg.categorical, cfg.numeric, nominal=True)
     ctr, cte = ctr.cache(), cte.cache()
-    cbins = md.code_bins(ctr, names)
-    lgb = md.boosted(cfg.lgb_params, style="lgb", max_bins=cbins)
-    lrounds = md.mean_iterations(md.cv_iterations(train, cfg.cv_folds, lgb, features=md.fold_features(
-        cfg.categorical, cfg.numeric, nominal=True)))
-    members = md.in_parallel(spark, [
-        lambda s=s: md.boosted(dict(cfg.lgb_params, maxIter=lrounds, seed=s), style="lgb", max_bins=cbins).fit(ctr)
-        for s in cfg.seeds])
+    codes = [f"{c}_code" for c in cfg.categorical]
+    lgb = bo.with_overrides(bo.LGB, cfg.lgb_params)
+    lrounds = md.mean_iterations(bo.cv_iterations(ctr, names, lgb, cfg.cv_folds, nominal=codes))
+    members = bo.fit(ctr, names, bo.with_overrides(lgb, {"maxIter": lrounds}), cfg.seeds, codes)
     ens = md.ensemble_predictions(members, cte)
     results.append(metrics.regression_metrics(ens))
 
@@ -162,8 +159,9 @@ def compare_models(requests: DataFrame, cfg: CompareConfig | None = None,
            "scored_rows": allm.select("model_name", "n_samples"),
            "improvement": metrics.improvement_over_baseline(allm),
            "chart": metrics.chart_feed(allm, selected=CHART_MODELS),
-           "importance": md.importance_table(spark, rf, names, "RF_Conservative")
-                           .unionByName(md.importance_table(spark, xgb_model, names, "XGB_Conservative"))}
+           "importance": md.importance_table(spark, rf, names, "RF_Conservative").unionByName(spark.createDataFrame(
+               [("XGB_Conservative", "gain", n, float(v)) for n, v in zip(names, xgb_model.importance(len(names)))],
+               "model_name STRING, importance_type STRING, feature STRING, importance DOUBLE"))}
     if output:
         for name, df in out.items():
             files.write_table(df, f"{output}/{name}", fmt="csv")
@@ -271,18 +269,19 @@ def variance(requests: DataFrame, seeds: list[int], cfg: CompareConfig | None =
     plain, nominal = frames(False), frames(True)
     names = plain[3]
 
-    def run(model_name: str, seed: int):
-        tr, te, va, _, bins = nominal if model_name == "LightGBM" else plain
-        if model_name == "RandomForest":
-            m = md.random_forest(dict(forest_params or {}, seed=seed), bins).fit(tr)
-        else:
-            style, params = ("xgb", cfg.xgb_params) if model_name == "XGBoost" else ("lgb", cfg.lgb_params)
-            m = md.fit_validated(md.boosted(dict(params, seed=seed), style, bins), tr, va)
+    def scored(model_name: str, seed: int, m):
+        te = nominal[1] if model_name == "LightGBM" else plain[1]
         met = metrics.regression_metrics(md.predict_days(m, te, model_name))
-        return m, met.select(F.col("model_name").alias("model"), F.lit(seed).alias("seed"), "mae", "rmse", "r2")
-    kinds = ["XGBoost", "RandomForest", "LightGBM"]
-    fitted = md.in_parallel(requests.sparkSession, [lambda k=k, s=s: run(k, s) for s in seeds for k in kinds])
-    trial_rows, first = [r for _, r in fitted], dict(zip(kinds, (m for m, _ in fitted)))
+        return met.select(F.col("model_name").alias("model"), F.lit(seed).alias("seed"), "mae", "rmse", "r2")
+
+    # boosted trees: all seeds of a style in one fit; forests: a few at a time
+    codes = [f"{c}_code" for c in cfg.categorical]
+    fitted = {"XGBoost": bo.fit(plain[0], names, bo.with_overrides(bo.XGB, cfg.xgb_params), seeds, val=plain[2]),
+              "RandomForest": md.in_parallel(requests.sparkSession, [
+                  lambda s=s: md.random_forest(dict(forest_params or {}, seed=s), plain[4]).fit(plain[0]) for s in seeds]),
+              "LightGBM": bo.fit(nominal[0], names, bo.with_overrides(bo.LGB, cfg.lgb_params), seeds, codes, nominal[2])}
+    first = {k: models[0] for k, models in fitted.items()}
+    trial_rows = [scored(k, s, m) for k, models in fitted.items() for s, m in zip(seeds, models)]
     t = persist_table(reduce(lambda a, b: a.unionByName(b), trial_rows), "trials")
     atts = [at.shapley(m, f[1], f[0], names, permutations=permutations, model_name=k) for k, m in first.items()
             for f in [nominal if k == "LightGBM" else plain]]

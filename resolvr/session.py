@@ -7,6 +7,7 @@ checkpoint into the shared folder named by ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -78,6 +79,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or path
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets the Python workers of a local session find this package as the
+    driver does; on a cluster it is shipped with the job (``--py-files``)."""
+    sc = spark.sparkContext
+    if sc.master.startswith("local"):
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        known = sc.environment.get("PYTHONPATH", "")
+        if root not in known.split(os.pathsep):
+            sc.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: writes the rows to the shared checkpoint folder
     and returns a DataFrame that reads them back (lineage cut, survives
