@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Text bytes that a task turns into numpy arrays at a time.
 SLICE_BYTES = 1 << 20
@@ -48,3 +49,30 @@ def packed(texts: list) -> tuple[np.ndarray, np.ndarray]:
     lens = np.fromiter((len(t) if t else 0 for t in texts), np.int64, len(texts))
     first = np.cumsum(lens + 1) - lens
     return np.frombuffer(b" " + b" ".join(t or b"" for t in texts), np.uint8), first
+
+
+def quoted(name: str) -> str:
+    """A column name as it stands, dots and backquotes included."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def handed_through(docs: DataFrame, text_col: str, carry: list[str] | None, result: str):
+    """For an operator over Arrow batches that adds the columns ``result``
+    (DDL) to the columns ``carry`` of ``docs`` (all by default).
+
+    Returns the table for the tasks (the carried columns as ``c0, c1, ...`` and
+    the text as ``text``, so no name of ``docs`` can meet one of the operator),
+    the names of the carried ones, the schema of what the tasks return, and a
+    function that gives the columns their names back. Columns of ``docs`` with a
+    result's name, in any case, are left out, as the result replaces them."""
+    new = StructType.fromDDL(result)
+    taken = {f.name.lower() for f in new}
+    names = [c for c in docs.columns if (carry is None or c in carry) and c.lower() not in taken]
+    private = [f"c{i}" for i in range(len(names))]
+    table = docs.select(*[F.col(quoted(c)).alias(p) for c, p in zip(names, private)], F.col(quoted(text_col)).alias("text"))
+    schema = StructType([*table.schema.fields[:-1], *new.fields])
+
+    def named(df: DataFrame) -> DataFrame:
+        return df.select(*[F.col(p).alias(c) for c, p in zip(names, private)], *new.names)
+
+    return table, dict(zip(names, private)), schema, named

@@ -11,13 +11,16 @@ Items shorter than 13 words lie below that guarantee; each of their lengths
 is a scheme of its own (K = length, W = 1).
 
 The benchmark is broadcast in parts of at most ``max_broadcast`` bytes of
-text; a larger one is handled in several passes over the documents within one
-stage. Documents are never shuffled.
+text, whose index a Python worker builds once. With one part (nearly always)
+documents are read once and never shuffled. A larger benchmark takes one pass
+over the stored documents a part, one part alive at a time; a pass returns only
+the documents that the part hits, and the marks of a document are joined.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -25,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, as_bytes, packed, slices
+from ..session import persist_table
+from .common import SLICE_BYTES, as_bytes, handed_through, packed, slices
 
 SPAN = 13
 K, W = 8, 6
@@ -100,23 +104,33 @@ def winnow(g: np.ndarray, w: int) -> np.ndarray:
 
 
 class Benchmark:
-    """Words and kept hashes of one part of the benchmark."""
-
-    def __init__(self, items: list[tuple[str, bytes]]):
-        self.ids, self.words, places = [], [], defaultdict(lambda: defaultdict(list))
-        for item_id, text in items:
-            low = text.lower()
-            s, e, h = words_of(np.frombuffer(low, np.uint8))
-            if not len(s):
-                continue
-            n = len(self.ids)
-            self.ids.append(item_id)
-            self.words.append([low[i:j] for i, j in zip(s.tolist(), e.tolist())])
-            k, w = (K, W) if len(s) >= SPAN else (len(s), 1)
-            g = grams(h, np.zeros(len(h), np.int8), k)
-            for p in winnow(g, w).tolist():
-                places[k, w][int(g[p])].append((n, p))
-        self.schemes = [(k, w, np.array(sorted(d), np.uint64), dict(d)) for (k, w), d in sorted(places.items())]
+    """Words and kept hashes of one part of the benchmark, in flat arrays."""
+
+    def __init__(self, items: list[tuple[str | None, bytes]]):
+        self.ids = [i for i, _ in items]
+        self.text = b" " + b" ".join(t for _, t in items).lower()
+        buf, first = packed([t.lower() for _, t in items])
+        self.start, self.end, h = words_of(buf)
+        owner = np.searchsorted(first, self.start, "right") - 1
+        self.begin = np.searchsorted(owner, np.arange(len(items) + 1))
+        length = np.diff(self.begin)
+        self.schemes = []
+        for n in [*np.unique(length[(length > 0) & (length < SPAN)]).tolist(), SPAN]:
+            k, w = (K, W) if n == SPAN else (n, 1)
+            at = np.flatnonzero((length >= SPAN if n == SPAN else length == n)[owner]) if len(owner) else owner
+            g = grams(h[at], owner[at], k)
+            kept = winnow(g, w)
+            kept = kept[np.argsort(g[kept], kind="stable")]
+            known, begin = np.unique(g[kept], return_index=True)
+            place = at[kept]
+            if len(known):
+                self.schemes.append((k, w, known, np.append(begin, len(place)), owner[place].astype(np.int32),
+                                     (place - self.begin[owner[place]]).astype(np.int32)))
+
+    def words(self, n: int) -> list[bytes]:
+        """The words of an item."""
+        a, b = self.begin[n], self.begin[n + 1]
+        return [self.text[i:j] for i, j in zip(self.start[a:b].tolist(), self.end[a:b].tolist())]
 
     def hits(self, texts: list[bytes | None]):
         """Per text: number of words, marked runs of words, items found."""
@@ -126,13 +140,14 @@ class Benchmark:
         owner = np.searchsorted(first, s, "right") - 1
         begin = np.searchsorted(owner, np.arange(len(texts) + 1))
         met = defaultdict(list)
-        for k, w, known, places in self.schemes:
+        for k, w, known, first_of, item, place in self.schemes:
             g = grams(h, owner, k)
             at = winnow(g, w)
-            if len(at) and len(known):
-                near = np.minimum(np.searchsorted(known, g[at]), len(known) - 1)
-                for p in at[known[near] == g[at]].tolist():
-                    met[int(owner[p])].append((p, places[int(g[p])]))
+            near = np.minimum(np.searchsorted(known, g[at]), len(known) - 1)
+            same = known[near] == g[at]
+            for p, c in zip(at[same].tolist(), near[same].tolist()):
+                span = slice(first_of[c], first_of[c + 1])
+                met[int(owner[p])].append((p, list(zip(item[span].tolist(), place[span].tolist()))))
         for i in range(len(texts)):
             a, b = int(begin[i]), int(begin[i + 1])
             runs, items = [], set()
@@ -143,12 +158,14 @@ class Benchmark:
             yield b - a, runs, items
 
     def _extend(self, words: list[bytes], met) -> tuple[list[tuple[int, int]], set[str]]:
-        runs, items, seen = set(), set(), {}
+        runs, items, seen, known = set(), set(), {}, {}
         for p, places in met:
             for n, q in places:
                 if seen.get((n, p - q), -1) >= p:
                     continue
-                item = self.words[n]
+                if n not in known:
+                    known[n] = self.words(n)
+                item = known[n]
                 x, y = p, q
                 while x and y and words[x - 1] == item[y - 1]:
                     x, y = x - 1, y - 1
@@ -159,7 +176,7 @@ class Benchmark:
                 if u > p and u - x >= min(SPAN, len(item)):
                     runs.add((x, u))
                     items.add(self.ids[n])
-        return sorted(runs), items
+        return sorted(runs), items - {None}
 
 
 def _covered(runs) -> int:
@@ -178,56 +195,92 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                   max_broadcast: int = 32 << 20) -> DataFrame:
     """The columns ``carry`` of ``docs`` (all by default) and ``n_words,
     n_hit, n_items, items_sha256, contaminated`` of each row; columns of ``docs`` with
-    these names are replaced.
+    these names, in any case, are replaced.
 
     Null and empty texts have no words and are never contaminated. Items that
-    are null, without an id or without words take no part; an item id that
-    repeats counts once. An empty benchmark marks nothing.
-    """
+    are null or without words take no part. Items without an id mark words and
+    contaminate, but ``n_items`` and ``items_sha256`` count ids only, a repeated one
+    once. Repeated documents are judged one by one; an empty benchmark marks
+    nothing, an empty table gives no rows."""
     spark = docs.sparkSession
-    docs = docs.drop("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "_runs", "_items")
-    carry = [c for c in docs.columns if carry is None or c in carry]
     items = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("item"),
-                             F.col(f"`{item_text_col}`").alias("text")).where("item is not null and text is not null")
+                             F.col(f"`{item_text_col}`").alias("text")).where("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-3 * size // (2 * max_broadcast))) if size > max_broadcast else 1
-    work = docs.select(*dict.fromkeys([*carry, text_col]))
-    for part in range(parts):
-        rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part).collect()
-        shared = spark.sparkContext.broadcast([(r["item"], r["text"].encode()) for r in rows])
-        work = _mark(work, shared, text_col, part == 0, carry if part == parts - 1 else None)
-    return work
+    work, kept, schema, named = handed_through(docs, text_col, carry, RESULT)
+
+    def part(n: int):
+        rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == n).collect()
+        found = [(r["item"], r["text"].encode()) for r in rows]
+        return spark.sparkContext.broadcast((hash_of(found), found))
+
+    def judged(batch, found):
+        n_hit = [_covered(r) for _, r, _ in found]
+        return pa.RecordBatch.from_arrays(
+            [*[batch[c] for c in kept.values()],
+             pa.array([n for n, _, _ in found], pa.int64()), pa.array(n_hit, pa.int64()),
+             pa.array([len(i) for _, _, i in found], pa.int64()),
+             pa.array([hashlib.sha256(",".join(sorted(i)).encode()).hexdigest() for _, _, i in found], pa.string()),
+             pa.array([x > 0 and 20 * x >= n for x, (n, _, _) in zip(n_hit, found)], pa.bool_())], schema.names)
+
+    if parts == 1:
+        shared = part(0)
+
+        def run(batches):
+            bench = _index(*shared.value)
+            for batch in batches:
+                texts = as_bytes(batch["text"])
+                yield judged(batch, [x for a, b in slices(texts) for x in bench.hits(texts[a:b])])
+
+        return named(work.mapInArrow(run, schema))
+
+    stored = persist_table(work.withColumn("row", F.monotonically_increasing_id()), "judged")
+    marks = [persist_table(_marks(stored.select("row", "text"), part(n)), "marks") for n in range(parts)]
+    every = marks[0]
+    for m in marks[1:]:
+        every = every.unionByName(m)
+    every = every.groupBy("row").agg(F.flatten(F.collect_list("runs")).alias("runs"),
+                                     F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids"))
+
+    def merge(batches):
+        for batch in batches:
+            texts = as_bytes(batch["text"])
+            n_words = [x for a, b in slices(texts) for x, _, _ in Benchmark([]).hits(texts[a:b])]
+            yield judged(batch, [(n, list(zip((r or [])[::2], (r or [])[1::2])), set(i or []))
+                                 for n, r, i in zip(n_words, batch["runs"].to_pylist(), batch["ids"].to_pylist())])
+
+    return named(stored.join(every, "row", "left").mapInArrow(merge, schema))
+
+
+def hash_of(items: list[tuple[str | None, bytes]]) -> int:
+    crc = 0
+    for item, text in items:
+        crc = zlib.crc32(repr((item, len(text))).encode() + text, crc)
+    return crc << 32 | len(items)
 
 
-def _mark(work: DataFrame, shared, text_col: str, first: bool, carry: list[str] | None) -> DataFrame:
-    """One part of the benchmark; ``carry`` is given with the last one."""
-    names, types = work.columns, dict(work.dtypes)
+_INDEXES: dict[int, Benchmark] = {}
 
+
+def _index(key: int, items: list[tuple[str | None, bytes]]) -> Benchmark:
+    """One per Python worker: the index of the part that it is busy with."""
+    if key not in _INDEXES:
+        _INDEXES.clear()
+        _INDEXES[key] = Benchmark(items)
+    return _INDEXES[key]
+
+
+def _marks(rows: DataFrame, shared) -> DataFrame:
+    """``row, runs, ids`` of the rows that a part of the benchmark hits."""
     def run(batches):
-        bench = Benchmark(shared.value)
+        bench = _index(*shared.value)
         for batch in batches:
-            texts = as_bytes(batch[text_col])
+            texts = as_bytes(batch["text"])
             found = [x for a, b in slices(texts) for x in bench.hits(texts[a:b])]
-            runs, ids = [r for _, r, _ in found], [i for _, _, i in found]
-            if not first:
-                runs = [[*r, *zip(o[::2], o[1::2])] for r, o in zip(runs, batch["_runs"].to_pylist())]
-                ids = [i | set(o) for i, o in zip(ids, batch["_items"].to_pylist())]
-            if carry is None:
-                extra = {"_runs": pa.array([[x for r in rs for x in r] for rs in runs], pa.list_(pa.int64())),
-                         "_items": pa.array([sorted(i) for i in ids], pa.list_(pa.string()))}
-                kept = [n for n in names if n not in extra]
-            else:
-                n_hit = [_covered(r) for r in runs]
-                kept, extra = carry, {
-                    "n_words": pa.array([n for n, _, _ in found], pa.int64()),
-                    "n_hit": pa.array(n_hit, pa.int64()),
-                    "n_items": pa.array([len(i) for i in ids], pa.int64()),
-                    "items_sha256": pa.array([hashlib.sha256(",".join(sorted(i)).encode()).hexdigest() for i in ids]),
-                    "contaminated": pa.array([x > 0 and 20 * x >= n for x, (n, _, _) in zip(n_hit, found)])}
-            yield pa.RecordBatch.from_arrays([*[batch[n] for n in kept], *extra.values()], [*kept, *extra])
-
-    if carry is None:
-        kept, tail = [n for n in names if n not in ("_runs", "_items")], "_runs array<bigint>, _items array<string>"
-    else:
-        kept, tail = carry, RESULT
-    return work.mapInArrow(run, ", ".join([*[f"`{n}` {types[n]}" for n in kept], tail]))
+            at = [i for i, (_, runs, _) in enumerate(found) if runs]
+            yield pa.RecordBatch.from_arrays(
+                [batch["row"].take(pa.array(at, pa.int64())),
+                 pa.array([[x for r in found[i][1] for x in r] for i in at], pa.list_(pa.int64())),
+                 pa.array([sorted(found[i][2]) for i in at], pa.list_(pa.string()))], ["row", "runs", "ids"])
+
+    return rows.mapInArrow(run, "row bigint, runs array<bigint>, ids array<string>")

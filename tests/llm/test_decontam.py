@@ -18,7 +18,7 @@ def plain(docs, items):
     windows = {}
     for item, text in items:
         w = words(text)
-        if item is not None and w:
+        if w:
             n = min(13, len(w))
             for i in range(len(w) - n + 1):
                 windows.setdefault(n, {}).setdefault(tuple(w[i:i + n]), set()).add(item)
@@ -29,7 +29,7 @@ def plain(docs, items):
             for i in range(len(w) - n + 1):
                 if (at := known.get(tuple(w[i:i + n]))) is not None:
                     hit |= set(range(i, i + n))
-                    found |= at
+                    found |= at - {None}  # an item without an id marks words only
         digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
         out.append((doc, len(w), len(hit), len(found), digest, bool(hit) and 20 * len(hit) >= len(w)))
     return sorted(out, key=str)
@@ -76,6 +76,28 @@ def test_every_shared_span_is_found(seed):
         assert items == {"x"} and decontam._covered(runs) >= 13
 
 
+def test_items_without_an_id_contaminate(spark):
+    bench = spark.createDataFrame([(None, "one two three four"), ("x", "five six")], "item_id string, text string")
+    docs = [(1, "so one two three four"), (2, "five six one two three four"), (3, "one two three")]
+    table = spark.createDataFrame(docs, "doc_id bigint, text string")
+    want = plain(docs, [(None, "one two three four"), ("x", "five six")])
+    assert [(x[0], x[2], x[3], x[5]) for x in want] == [(1, 4, 0, True), (2, 6, 1, True), (3, 0, 0, False)]
+    for limit in (32 << 20, 10):
+        assert got(decontam.contamination(table, bench, max_broadcast=limit)) == want
+
+
+def test_the_index_is_flat_and_built_once_per_worker():
+    r = random.Random(1)
+    items = [(str(i), " ".join(f"w{r.randrange(5000)}" for _ in range(200)).encode()) for i in range(500)]
+    size = sum(len(t) for _, t in items)
+    key = decontam.hash_of(items)
+    bench = decontam._index(key, items)
+    assert decontam._index(key, items) is bench and decontam.hash_of(items[1:]) != key
+    arrays = [bench.start, bench.end, bench.begin, *[x for sc in bench.schemes for x in sc[2:]]]
+    assert sum(x.nbytes for x in arrays) + len(bench.text) < 9 * size  # 32 MB of text: below 300 MB
+    assert bench.words(7) == items[7][1].split()
+
+
 def test_words_longer_than_a_block(monkeypatch):
     import numpy as np
     monkeypatch.setattr(decontam, "SLICE_BYTES", 16)
