@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import handed_through, slices
 
 BUCKETS = 1 << 14
 SIZES = (2, 3)
@@ -113,17 +113,16 @@ def predict(docs: DataFrame, model, text_col: str = "text", carry: list[str] | N
     ``lang_pred``) behind them, no shuffle. Null texts and texts
     without a letter get ``und`` and score 0, as does every text when no
     language was learned; equal posteriors go to the first language by name.
-    Columns of these names that ``docs`` has already are replaced."""
+    Columns of these names that ``docs`` has already, in any case, are
+    replaced; repeated rows are scored one by one, an empty table gives no rows."""
     langs, prior, logp = model
-    docs = docs.drop("lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast((langs, prior, np.ascontiguousarray(logp.T, np.float32)))
-    carry = [c for c in docs.columns if carry is None or c in carry]
-    work, types = docs.select(*dict.fromkeys([*carry, text_col])), dict(docs.dtypes)
+    work, kept, schema, named = handed_through(docs, text_col, carry, "lang_pred string, score double")
 
     def run(batches):
         langs, prior, logp = shared.value
         for batch in batches:
-            texts = batch[text_col].to_pylist()
+            texts = batch["text"].to_pylist()
             known = np.array([has_letter(t) for t in texts], bool) & bool(langs)
             post = np.zeros((len(texts), max(1, len(langs))))
             for s, e in slices(texts) if langs else ():
@@ -134,8 +133,7 @@ def predict(docs: DataFrame, model, text_col: str = "text", carry: list[str] | N
             top = post[np.arange(len(texts)), best]
             score = np.where(known, 1 / np.exp(post - top[:, None]).sum(1), 0.0)
             pred = [langs[b] if k else "und" for b, k in zip(best, known)]
-            yield pa.RecordBatch.from_arrays([*[batch[c] for c in carry], pa.array(pred, pa.string()), pa.array(score)],
-                                             [*carry, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*[batch[c] for c in kept.values()], pa.array(pred, pa.string()), pa.array(score)],
+                                             schema.names)
 
-    fields = ", ".join([*[f"`{c}` {types[c]}" for c in carry], "lang_pred string", "score double"])
-    return work.mapInArrow(run, fields)
+    return named(work.mapInArrow(run, schema))

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import handed_through
+
 KINDS = ("email", "ip", "card", "phone")
 #: Bounds of the training sample: documents read, windows kept.
 TRAIN_DOCS, TRAIN_WINDOWS = 6000, 1500
@@ -406,27 +408,26 @@ def find(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", carry:
 
     Spans count code points. Null and empty texts have no spans (a null text
     stays null). ``tagger`` None keeps to the base. Columns of ``docs`` with
-    the result's names are replaced; texts are read whole."""
+    the result's names, in any case, are replaced; texts are read whole; repeated
+    rows are searched one by one. A table whose ids are all null trains no
+    tagger and keeps to the base, too."""
     if tagger == "train":
         tagger = train(docs, id_col, text_col)
-    new = [f.split()[0] for f in RESULT.split(", ")]
-    docs = docs.drop(*new)
-    carry = [c for c in docs.columns if carry is None or c in carry]
-    work, types = docs.select(*dict.fromkeys([*carry, text_col])), dict(docs.dtypes)
+    work, names, schema, named = handed_through(docs, text_col, carry, RESULT)
     shared = docs.sparkSession.sparkContext.broadcast(tagger)
 
     def run(batches):
         model = shared.value
         for batch in batches:
-            texts = batch[text_col].to_pylist()
+            texts = batch["text"].to_pylist()
             base = [base_spans(t) for t in texts]
             spans = [b + a for b, a in zip(base, added_spans(texts, base, model))] if model else base
             counts = [pa.array([sum(k == n for k, _, _ in b) for b in base], pa.int64()) for n in range(len(KINDS))]
             digest = [hashlib.sha256(joined(b).encode()).hexdigest() for b in base]
-            kept = {c: batch[c] for c in carry}
-            if redact and text_col in kept:
-                kept[text_col] = pa.array([redacted(t, s) if s else t for t, s in zip(texts, spans)], pa.string())
+            kept = {c: batch[c] for c in names.values()}
+            if redact and text_col in names:
+                kept[names[text_col]] = pa.array([redacted(t, s) if s else t for t, s in zip(texts, spans)], pa.string())
             yield pa.RecordBatch.from_arrays([*kept.values(), *counts, pa.array(digest), pa.array(map(joined, spans), pa.string())],
-                                             [*kept, *new])
+                                             schema.names)
 
-    return work.mapInArrow(run, ", ".join([*[f"`{c}` {types[c]}" for c in carry], RESULT]))
+    return named(work.mapInArrow(run, schema))

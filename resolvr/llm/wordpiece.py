@@ -11,12 +11,13 @@ from __future__ import annotations
 
 import json
 import re
+import zlib
 from collections import Counter, deque
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import SLICE_BYTES
+from .common import SLICE_BYTES, handed_through
 from .packing import byte_of_char
 
 _WORDS = re.compile(r"[^\W_]+|[^\w\s]|_")
@@ -94,6 +95,17 @@ def byte_level_pieces(tokenizer_json: str) -> tuple[list[str], list[str]]:
     return first, later
 
 
+_AUTOMATA: dict[int, Automaton] = {}
+
+
+def _automaton(key: int, first: list[str], later: list[str]) -> Automaton:
+    """One per Python worker and vocabulary: building it takes half a second."""
+    if key not in _AUTOMATA:
+        _AUTOMATA.clear()
+        _AUTOMATA[key] = Automaton(first, later)
+    return _AUTOMATA[key]
+
+
 def token_counts(docs: DataFrame, first: list[str], later: list[str], text_col: str = "text",
                  carry: list[str] | None = None, memo: int = 300_000) -> DataFrame:
     """The columns ``carry`` of ``docs`` (all by default) and ``n_words,
@@ -102,18 +114,17 @@ def token_counts(docs: DataFrame, first: list[str], later: list[str], text_col:
 
     Words are runs of letters and digits; every other character but white
     space is a word. A word that the pieces cannot cover counts as one token
-    and one unknown. Null and empty texts have zeros."""
-    new = ["n_words", "n_tokens", "n_unknown"]
-    docs = docs.drop(*new)
-    carry = [c for c in docs.columns if carry is None or c in carry]
-    work, types = docs.select(*dict.fromkeys([*carry, text_col])), dict(docs.dtypes)
-    shared = docs.sparkSession.sparkContext.broadcast((first, later))  # a vocabulary: a few MB
+    and one unknown. Null and empty texts have zeros, repeated rows are counted
+    one by one, an empty table gives no rows."""
+    work, names, schema, named = handed_through(docs, text_col, carry, "n_words bigint, n_tokens bigint, n_unknown bigint")
+    shared = docs.sparkSession.sparkContext.broadcast(
+        (zlib.crc32("\n".join([*first, "", *later]).encode()), first, later))  # a vocabulary: a few MB
 
     def run(batches):
-        automaton, known = Automaton(*shared.value), {}
+        automaton, known = _automaton(*shared.value), {}
         for batch in batches:
             out = []
-            for text in batch[text_col].to_pylist():
+            for text in batch["text"].to_pylist():
                 words = tokens = unknown = 0
                 for part in _parts(text or ""):
                     for w, k in Counter(_WORDS.findall(part)).items():
@@ -127,9 +138,9 @@ def token_counts(docs: DataFrame, first: list[str], later: list[str], text_col:
                         unknown += k * (n == 0)
                 out.append((words, tokens, unknown))
             cols = [pa.array(c, pa.int64()) for c in zip(*out)] or [pa.array([], pa.int64())] * 3
-            yield pa.RecordBatch.from_arrays([*[batch[c] for c in carry], *cols], [*carry, *new])
+            yield pa.RecordBatch.from_arrays([*[batch[c] for c in names.values()], *cols], schema.names)
 
-    return work.mapInArrow(run, ", ".join([*[f"`{c}` {types[c]}" for c in carry], *[f"{c} bigint" for c in new]]))
+    return named(work.mapInArrow(run, schema))
 
 
 def _parts(text: str, limit: int = SLICE_BYTES):
