@@ -16,38 +16,50 @@ from resolvr.session import persist_table
 from resolvr.sources.tables import read_table
 
 
+def _apart(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with its columns called ``d0, d1, ...``, and which is which: no
+    name of theirs, whatever it holds, can meet one of an operator."""
+    names = {c: f"d{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def _back(found: DataFrame, names: dict[str, str]) -> DataFrame:
+    return found.select(*[F.col(d).alias(c) for c, d in names.items()])
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; ``und`` ones go. A missing
     ``lang`` is filled with the predicted one."""
-    known = langid.predict(docs, queries.learned_languages(docs)).where("lang_pred <> 'und'")
-    return known.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    rows, names = _apart(docs)
+    known = langid.predict(rows, queries.learned_languages(docs), names["text"]).where("lang_pred <> 'und'")
+    return _back(known.withColumn(names["lang"], F.coalesce(names["lang"], "lang_pred")), names)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest
     id. Rows are told apart by a key that is stored with them: another scan
     may split the files differently and number other rows."""
-    key = "_row"
-    while key in map(str.lower, docs.columns):
-        key += "_"
-    stored = persist_table(docs.withColumn(key, F.monotonically_increasing_id()), "numbered")
-    extra = persist_table(simhash.near_duplicates(stored, row_col=key).where(~F.col("keep"))
-                          .select(F.col("row_key").alias(key)), "copies")
-    return stored.join(extra, key, "left_anti").select(*docs.columns)
+    rows, names = _apart(docs)
+    stored = persist_table(rows.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    found = simhash.near_duplicates(stored, names["doc_id"], names["text"], row_col="row")
+    extra = persist_table(found.where(~F.col("keep")).select(F.col("row_key").alias("row")), "copies")
+    return _back(stored.join(extra, "row", "left_anti"), names)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated with benchmark passages."""
-    marked = decontam.contamination(docs, read_table(spark, sf_dir, "benchmark"))
-    return marked.where(~F.col("contaminated")).select(*docs.columns)
+    rows, names = _apart(docs)
+    marked = decontam.contamination(rows, read_table(spark, sf_dir, "benchmark"), names["text"])
+    return _back(marked.where(~F.col("contaminated")), names)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by its kind; ``n_chars`` follows."""
-    clean = pii.find(docs, redact=True)
-    if "n_chars" in docs.columns:
-        clean = clean.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return clean.select(*docs.columns)
+    rows, names = _apart(docs)
+    clean = pii.find(rows, names["text"], names["doc_id"], redact=True)
+    if "n_chars" in names:
+        clean = clean.withColumn(names["n_chars"], F.length(names["text"]).cast(dict(docs.dtypes)["n_chars"]))
+    return _back(clean, names)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
