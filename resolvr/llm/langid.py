@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import persist_table
 from .common import handed_through, slices
 
 BUCKETS = 1 << 14
@@ -62,9 +63,10 @@ def has_letter(text: str | None) -> bool:
 def learn(docs: DataFrame, lang: Column, text_col: str = "text", buckets: int = BUCKETS, sizes=SIZES,
           alpha: float = 0.1) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages (sorted), log priors and the ``buckets`` x languages matrix
-    of log probabilities, from all rows whose ``lang`` is not null. The
-    driver gets at most ``buckets`` counts per language; more than
-    MAX_LANGUAGES languages raise ValueError."""
+    of log probabilities, from all rows whose ``lang`` is not null. Above
+    MAX_LANGUAGES languages a list of functions, each of which gives these three
+    for the next MAX_LANGUAGES ones. The driver gets the languages' names and the
+    counts of one such block at a time."""
     rows = docs.select(F.col(f"`{text_col}`").alias("text"), lang.cast("string").alias("lang")) \
         .where("lang is not null")
 
@@ -88,23 +90,23 @@ def learn(docs: DataFrame, lang: Column, text_col: str = "text", buckets: int =
                 [pa.array([name] * (len(at) + 1)), pa.array(np.append(at, -1), pa.int32()),
                  pa.array(np.append(c[at], n), pa.int64())], ["lang", "feature", "n"])
 
-    counts = rows.mapInArrow(count, "lang string, feature int, n bigint") \
-        .groupBy("lang", "feature").agg(F.sum("n").alias("n"))
-    priors = {}
-    summed = counts.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("feature", "n"))).alias("c"))
-    got = summed.limit(MAX_LANGUAGES + 1).collect()
-    if len(got) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages; the broadcast matrix would be too large")
-    got.sort(key=lambda r: r["lang"])
-    matrix = np.full((buckets, len(got)), alpha)
-    for k, r in enumerate(got):
-        for f, n in r["c"]:
-            if f < 0:
-                priors[k] = n
-            else:
-                matrix[f, k] += n
-    prior = np.array([priors[k] for k in range(len(got))], float)
-    return [r["lang"] for r in got], np.log(prior / max(prior.sum(), 1)), np.log(matrix / matrix.sum(0))
+    counts = persist_table(rows.mapInArrow(count, "lang string, feature int, n bigint")
+                           .groupBy("lang", "feature").agg(F.sum("n").alias("n")), "language-counts")
+    n_docs = {r["lang"]: r["n"] for r in counts.where("feature < 0").collect()}
+    langs, total = sorted(n_docs), max(sum(n_docs.values()), 1)
+
+    def block(names: list[str]):
+        matrix, place = np.full((buckets, len(names)), alpha), {x: k for k, x in enumerate(names)}
+        if names:
+            found = counts.where("feature >= 0").where(F.col("lang").between(names[0], names[-1])).toArrow()
+            at = np.array([place[x] for x in found["lang"].to_pylist()], np.int64)
+            matrix[found["feature"].to_numpy(), at] += found["n"].to_numpy()
+        prior = np.array([n_docs[x] for x in names], float)
+        return names, np.log(prior / total), np.log(matrix / matrix.sum(0))
+
+    if len(langs) <= MAX_LANGUAGES:
+        return block(langs)
+    return [lambda a=a: block(langs[a:a + MAX_LANGUAGES]) for a in range(0, len(langs), MAX_LANGUAGES)]
 
 
 def predict(docs: DataFrame, model, text_col: str = "text", carry: list[str] | None = None, buckets: int = BUCKETS,
@@ -115,6 +117,8 @@ def predict(docs: DataFrame, model, text_col: str = "text", carry: list[str] | N
     language was learned; equal posteriors go to the first language by name.
     Columns of these names that ``docs`` has already, in any case, are
     replaced; repeated rows are scored one by one, an empty table gives no rows."""
+    if isinstance(model, list):
+        return _predict_in_blocks(docs, model, text_col, carry, buckets, sizes)
     langs, prior, logp = model
     shared = docs.sparkSession.sparkContext.broadcast((langs, prior, np.ascontiguousarray(logp.T, np.float32)))
     work, kept, schema, named = handed_through(docs, text_col, carry, "lang_pred string, score double")
@@ -124,11 +128,7 @@ def predict(docs: DataFrame, model, text_col: str = "text", carry: list[str] | N
         for batch in batches:
             texts = batch["text"].to_pylist()
             known = np.array([has_letter(t) for t in texts], bool) & bool(langs)
-            post = np.zeros((len(texts), max(1, len(langs))))
-            for s, e in slices(texts) if langs else ():
-                h, own = ngrams(texts[s:e], buckets, sizes)
-                for k in range(len(langs)):
-                    post[s:e, k] = np.bincount(own, logp[k][h], e - s) + prior[k]
+            post = _posteriors(texts, langs, prior, logp, buckets, sizes)
             best = post.argmax(1)
             top = post[np.arange(len(texts)), best]
             score = np.where(known, 1 / np.exp(post - top[:, None]).sum(1), 0.0)
@@ -137,3 +137,52 @@ def predict(docs: DataFrame, model, text_col: str = "text", carry: list[str] | N
                                              schema.names)
 
     return named(work.mapInArrow(run, schema))
+
+
+def _posteriors(texts: list, langs, prior, logp, buckets: int, sizes) -> np.ndarray:
+    """Log joint probability of each text and language."""
+    post = np.zeros((len(texts), max(1, len(langs))))
+    for s, e in slices(texts) if langs else ():
+        h, own = ngrams(texts[s:e], buckets, sizes)
+        for k in range(len(langs)):
+            post[s:e, k] = np.bincount(own, logp[k][h], e - s) + prior[k]
+    return post
+
+
+def _predict_in_blocks(docs: DataFrame, blocks: list, text_col: str, carry: list[str] | None, buckets: int,
+                       sizes) -> DataFrame:
+    """``predict`` with one block of languages at a time: a pass over the
+    stored documents gives each one's best language of the block and the sum of
+    its probabilities, and a document's passes are put together."""
+    work, kept, schema, named = handed_through(docs, text_col, carry, "lang_pred string, score double")
+    stored = persist_table(work.withColumn("row", F.monotonically_increasing_id()), "predicted")
+
+    def one(block):
+        langs, prior, logp = block()
+        shared = docs.sparkSession.sparkContext.broadcast((langs, prior, np.ascontiguousarray(logp.T, np.float32)))
+
+        def run(batches):
+            langs, prior, logp = shared.value
+            for batch in batches:
+                texts = batch["text"].to_pylist()
+                post = _posteriors(texts, langs, prior, logp, buckets, sizes)
+                best = post.argmax(1)
+                top = post[np.arange(len(texts)), best]
+                known = np.flatnonzero([has_letter(t) for t in texts])
+                yield pa.RecordBatch.from_arrays(
+                    [batch["row"], pa.array([langs[b] for b in best], pa.string()), pa.array(top),
+                     pa.array(np.exp(post - top[:, None]).sum(1))], ["row", "lang", "top", "mass"]).take(pa.array(known))
+        return persist_table(stored.select("row", "text").mapInArrow(run, "row bigint, lang string, top double, mass double"),
+                             "language-block")
+
+    passes = [one(b) for b in blocks]
+    every = passes[0]
+    for p in passes[1:]:
+        every = every.unionByName(p)
+    # of equal posteriors the first language by name: the blocks are in that order
+    top = every.groupBy("row").agg(F.max("top").alias("best"))
+    found = every.join(top, "row").groupBy("row").agg(
+        F.min(F.when(F.col("top") == F.col("best"), F.col("lang"))).alias("lang_pred"),
+        (1 / F.sum(F.col("mass") * F.exp(F.col("top") - F.col("best")))).alias("score"))
+    return named(stored.join(found, "row", "left").withColumn("lang_pred", F.coalesce("lang_pred", F.lit("und")))
+                 .withColumn("score", F.coalesce("score", F.lit(0.0))))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..session import persist_table, scratch_path
 from ..sources.tables import read_table
 from . import decontam, hardneg, htmltext, idfile, langid, packing, phrases, pii, quality, simhash, topk, warc, wordpiece
+from .oracle import ORACLE  # noqa: F401 - the registry takes both from here
 
 
 def tokenizer_json() -> str:
@@ -98,4 +99,3 @@ QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_simhash_near_dedup, op3_exact_top_k, op4_quality_classifier, op5_token_counts,
     op6_language_id, op7_personal_data, op8_benchmark_decontamination, op9_warc_revisits, op10_html_extraction,
     op11_token_id_files, op12_hard_negatives, op13_phrase_collocations)}
-ORACLE: dict[str, str] = {}
