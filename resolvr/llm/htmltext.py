@@ -55,15 +55,18 @@ BOILERPLATE_NAMES = frozenset(
     "notice notices overlay pager pagination popup promo promoted promotion related reply replies respond share "
     "sharing sidebar signup social sponsor sponsored subscribe tags toolbar widget".split())
 ARTICLE_NAMES = frozenset("article body content entry main post story text".split())
+#: What names end with that say where or how a part stands, not what it is.
+PLACE_NAMES = frozenset("area bar block bottom box buttons container group holder inner item items left links list outer "
+                        "panel posts right row section slot top unit wrap wrapper".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
                   r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
-_NAMES = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+_NAMES = re.compile(r"""(?<![^\s"'/])(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 #: Attributes that hide an element, and what their value has to be like.
 _HIDDEN = {"hidden": re.compile(r"(?!false|until)", re.I), "aria-hidden": re.compile(r"true", re.I),
            "style": re.compile(r"(?:[^;]*;)*?\s*display\s*:\s*none\b", re.I)}
-_PART = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
+_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Za-z][a-z]*")
 #: Start tags that end an open element of these kinds, up to one of the fences.
 _CLOSES = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)),
            "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")),
@@ -77,6 +80,20 @@ def hidden(attributes: str) -> bool:
                for name, value in _ATTRIBUTE.findall(attributes))
 
 
+def roles(attributes: str) -> frozenset[str]:
+    """What the names in class, id and role say a part is: the last word of
+    each that names no place, so ``comment-list`` is ``comment``, and
+    ``legal-history`` is ``history`` and no legal notice."""
+    out = set()
+    for value in _NAMES.findall(attributes):
+        for name in value.strip("\"'").split():
+            words = [w.lower() for w in _PART.findall(name)]
+            while len(words) > 1 and words[-1] in PLACE_NAMES:
+                words.pop()
+            out.update(words[-1:])
+    return frozenset(out)
+
+
 class Page:
     """Block elements in page order: ``parent`` (-1 for the root), ``tags``,
     ``names``; ``blocks`` are (element, text, characters inside links)."""
@@ -109,14 +126,15 @@ class Page:
         self._flush()
 
     def _add(self, text: str) -> None:
+        if "&" in text:  # a reference ends where its run of text ends
+            text = _html.unescape(text)
         self._text.append(text)
         if self._link:
             self._linked += len(text)
 
     def _flush(self) -> None:
         if self._text:
-            raw = "".join(self._text)
-            text = " ".join((_html.unescape(raw) if "&" in raw else raw).split())
+            text = " ".join("".join(self._text).split())
             if text:
                 self.blocks.append((self._stack[-1], text, self._linked))
         self._text, self._linked = [], 0
@@ -128,8 +146,7 @@ class Page:
         self._flush()
         if tag in VOID or tag in LINES:
             return
-        names = frozenset(p.lower() for v in _NAMES.findall(attributes) for p in _PART.findall(v)) if attributes \
-            else frozenset()
+        names = roles(attributes) if attributes else frozenset()
         if attributes and hidden(attributes):
             names |= {"overlay"}
         if tag in EMBEDDED and (not names or attributes.endswith("/")):
@@ -165,7 +182,9 @@ class Page:
                 return
 
 
-FEATURES = 20
+FEATURES = 22
+#: Characters of unlinked text that count as prose.
+PROSE = 40
 
 
 def features(page: Page) -> list[list[int]]:
@@ -176,6 +195,15 @@ def features(page: Page) -> list[list[int]]:
         size[e] += len(text)
         linked[e] += link
         ends[e] += text[-1] in ".!?…:;\"'”»)"
+    # prose that an element holds itself or in its children: what stands beside a link tells a menu from a source list
+    prose = [size[i] - linked[i] if size[i] - linked[i] >= PROSE else 0 for i in range(n)]
+    around = prose[:]
+    for i in range(1, n):
+        around[page.parent[i]] += prose[i]
+    # a boilerplate part, and what is directly or one step inside it, is in no such company
+    apart = [t in BOILERPLATE_TAGS or bool(m & BOILERPLATE_NAMES) for t, m in zip(page.tags, page.names)]
+    apart = [a or i > 0 and (apart[page.parent[i]] or page.parent[i] > 0 and apart[page.parent[page.parent[i]]])
+             for i, a in enumerate(apart)]
     out = []
     for i in range(n):
         tag, names, f = page.tags[i], page.names[i], [0]
@@ -194,6 +222,9 @@ def features(page: Page) -> list[list[int]]:
             f.append(10 if size[i] < 40 else 11 if size[i] < 200 else 12)
             f.append(13 if 2 * linked[i] > size[i] else 14 if linked[i] else 15)
             f.append(16 if ends[i] else 17)
+            if 2 * linked[i] > size[i]:
+                up = page.parent[i]
+                f.append(20 if not apart[i] and up >= 0 and (around[up] or up and around[page.parent[up]]) else 21)
         else:
             f.append(18)
         out.append(f)
@@ -263,7 +294,13 @@ _PARTS = [("<p>A sentence of the text.</p>", 1), ("<h2>A heading</h2>", 1), ("<u
           ("<blockquote>A quotation of some length, as texts have them.</blockquote>", 1),
           ("<div>Text without a paragraph.</div>", 1), ("<p>Words only</p>", 1), ("<p>Words with <a href=/>a link</a> in</p>", 1),
           ("<table><tr><td>A cell</td></tr></table>", 1), ("<pre>x = 1</pre>", 1), ("<dl><dt>Term</dt><dd>Meaning</dd></dl>", 1), ("<div class=content><p>More of the text.</p></div>", 1),
-          ("<nav><ul><li><a href=/>Home</a></li></ul></nav>", 0), ("<aside><p>Read on.</p></aside>", 0),
+          ("<h2>Sources</h2><ul><li><a href=/>The first source</a></li><li><a href=/>The second one</a></li></ul>", 1),
+          ("<p><a href=/>See the full report</a></p>", 1), ("<table><tr><td><a href=/>A row</a></td><td>7</td></tr></table>", 1),
+          ("<div><a href=/>A picture of it</a></div>", 1), ("<ol><li><a href=/>A step of many, told elsewhere.</a></li></ol>", 1),
+          ("<nav><ul><li><a href=/>Home</a></li></ul></nav>", 0), ("<nav><a href=/>Next page</a><p><a href=/>All news.</a></p></nav>", 0),
+          ("<div class=menu><ul><li><a href=/>Home</a></li><li><a href=/>About us</a></li></ul></div>", 0),
+          ("<div role=navigation><a href=/>Older</a></div>", 0), ("<div hidden><p>Not shown.</p></div>", 0),
+          ("<div hidden>Not shown</div>", 0), ("<object class=ad><p>Buy now.</p></object>", 0), ("<aside><p>Read on.</p></aside>", 0),
           ("<div class=ad>Buy now.</div>", 0), ("<div class=comments><p>I agree with every word.</p></div>", 0),
           ("<form><p>Your name</p></form>", 0), ("<div class=cookie-notice><p>We use cookies here.</p></div>", 0),
           ("<header><p>The site</p></header>", 0), ("<footer><p>All rights reserved.</p></footer>", 0),
@@ -273,13 +310,19 @@ _PARTS = [("<p>A sentence of the text.</p>", 1), ("<h2>A heading</h2>", 1), ("<u
 def examples() -> list[str]:
     """Small labelled pages made of ``_PARTS``, inside and outside an article
     (``labels`` reads their labels)."""
-    own, apart = "".join(h for h, c in _PARTS if c), "".join(h for h, c in _PARTS if not c)
+    prose = "<p>A paragraph of the article that is long enough to be prose, and then some more of it.</p>"
+    own = prose + prose.join(h for h, c in _PARTS if c) + prose
+    apart = "".join(h for h, c in _PARTS if not c)
     whole = [f"<body>{apart}<article>{own}{apart}{own}</article>{apart}</body>",
              f"<body>{apart}<main><div>{own}</div>{apart}</main></body>",
              f"<body>{apart}<div id=main-content>{own}{apart}</div>{apart}</body>",
              f"<body>{apart}<div class=post>{own}</div>{apart}</body>"]
-    single = [f"<{tag}>{h * n}</{tag}>" for h, c in _PARTS if c for tag in ("article", "main") for n in (1, 3)]
-    return whole + single + [f"<body>{x}{apart}</body>" for x in single]
+    frames = ["article", "main", "div class=content", "div id=main-text", "section class=post"]
+    single = [f"<{tag}>{prose if '<a' in h else ''}{h * n}</{tag.split()[0]}>" for h, c in _PARTS if c for tag in frames
+              for n in (1, 3)]
+    single += [f"<{tag}><p>First of it.</p>{h}<p>Last of it.</p></{tag.split()[0]}>" for h, c in _PARTS if not c for tag in frames]
+    menu = "<ul><li><a href=/>Home</a></li><li><a href=/>About</a></li></ul>"  # outside the article, without a name
+    return whole + single + [f"<body>{x}{apart}</body>" for x in single] + [f"<body>{menu}{x}<div>{menu}</div></body>" for x in single]
 
 
 def train(sources: list[str], rounds: int = 60, rate: float = 0.4, ridge: float = 0.02) -> Model:
@@ -334,9 +377,10 @@ def training_pages(pages: DataFrame, html_col: str = "html", limit: int = TRAIN_
 def main_text(pages: DataFrame, model: Model | None = None, html_col: str = "html", keep=("page_id", "url")) -> DataFrame:
     """``keep`` columns, ``text`` and ``n_chars`` of every page, whole.
 
-    A null or empty page, and one without content, gives an empty text.
-    Without a model one is trained on ``training_pages``. Repeated pages are
-    handled one by one."""
+    A null or empty page, and one without content, gives an empty text; very
+    long pages are read whole. Without a model one is trained on
+    ``training_pages``. Repeated pages are handled one by one; columns of ``pages``
+    that are not in ``keep`` are not read, so their names cannot clash."""
     model = model or train(training_pages(pages, html_col))
     shared = pages.sparkSession.sparkContext.broadcast((model.unary, model.edge))
     work = pages.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{html_col}`").alias("_html"))

@@ -82,6 +82,51 @@ def test_text_of_other_elements(model, part, want):
     assert model.text(around.format(part)) == " ".join(f"Title First of it. {want} Last of it.".split())
 
 
+LONG = "<p>A paragraph of the article, long enough to be read as prose by anyone who looks at it.</p>"
+PROSE = "A paragraph of the article, long enough to be read as prose by anyone who looks at it."
+MENU = "<ul><li><a href=/>Home</a></li><li><a href=/>News</a></li><li><a href=/>About us</a></li></ul>"
+
+
+@pytest.mark.parametrize("source,want", [
+    # links that belong to the article
+    (f"<article>{LONG}<h2>Sources</h2><ul><li><a>First source</a></li><li><a>Second source</a></li></ul>{LONG}</article>",
+     f"{PROSE} Sources First source Second source {PROSE}"),
+    (f"<article>{LONG}<p><a href=/>See the full report</a></p>{LONG}</article>", f"{PROSE} See the full report {PROSE}"),
+    (f"<nav>{MENU}</nav><main>{LONG}<ol><li><a href=/>One</a><li><a href=/>Two</a></ol></main>", f"{PROSE} One Two"),
+    (f"<article>{LONG}<table><tr><td><a href=/>Alpha</a></td><td><a href=/>Beta</a></td></tr></table></article>", f"{PROSE} Alpha Beta"),
+    (f"<article>{LONG}<div class=gallery><div><a href=/>A picture</a></div><div><a href=/>Another</a></div></div></article>",
+     f"{PROSE} A picture Another"),
+    (f"<article>{LONG}<figure><a href=/><img src=a></a><figcaption><a href=/>The bridge</a></figcaption></figure></article>",
+     f"{PROSE} The bridge"),
+    (f"<main><div>{LONG}<dl><dt><a href=/>Term</a></dt><dd>What it means.</dd></dl></div></main>", f"{PROSE} Term What it means."),
+    (f"<article>{LONG}<blockquote><a href=/>So it was said</a></blockquote></article>", f"{PROSE} So it was said"),
+    # menus, with a name or without
+    (f"<nav>{MENU}</nav><article>{LONG}</article>", PROSE),
+    (f"<div class=main-menu>{MENU}</div><article>{LONG}</article>", PROSE),
+    (f"<div role=navigation>{MENU}</div><article>{LONG}</article>", PROSE),
+    (f"<body>{MENU}<article>{LONG}</article>{MENU}</body>", PROSE),
+    (f"<article>{LONG}<nav><a href=/>Next part</a></nav></article>", PROSE),
+    (f"<article>{LONG}<div class=share-buttons><a href=/>Send it</a></div></article>", PROSE),
+    (f"<article>{LONG}<div class='related-posts'><p><a href=/>More of this</a></p></div></article>", PROSE),
+    # names
+    (f"<article><section aria-label='Share of the legal form'>{LONG}</section></article>", PROSE),
+    (f"<article><div class=legal-history>{LONG}</div></article>", PROSE),
+    (f"<article><div class=advertising-market id=cookieRecipes>{LONG}</div></article>", PROSE),
+    (f"<article>{LONG}<div class=comment-list><p>I agree with it.</p></div></article>", PROSE),
+    (f"<article>{LONG}<div class='c-ad__slot'><p>Buy now.</p></div></article>", PROSE),
+    (f"<article>{LONG}<section data-class=footer><p>Not a footer.</p></section></article>", f"{PROSE} Not a footer."),
+    # no article tag
+    (f"<body><div class=menu>{MENU}</div><div id=main-content>{LONG}<p>Short.</p></div><div class=footer><p>Imprint.</p></div></body>",
+     f"{PROSE} Short."),
+    (f"<body><header><p>Site</p></header><div class=post><h1>Title</h1>{LONG}</div><footer><p>Imprint.</p></footer></body>",
+     f"Title {PROSE}"),
+    # references end with their run of text
+    ("<article><p>A &<i>amp;</i> B &amp;lt; C&lt<b>;</b></p></article>", "A &amp; B &lt; C<;"),
+])
+def test_layouts(model, source, want):
+    assert model.text(source) == want
+
+
 def test_deep_and_broken_markup(model):
     assert isinstance(model.text("<div>" * 5000 + "x" + "</p>" * 100), str)
     assert isinstance(model.text("<a href='" + "x" * 20000 + "<p>" * 200), str)
