@@ -41,17 +41,22 @@ def resolve_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "
 
     Of equal payloads of at least ``min_bytes`` bytes the record with the
     largest id is the response (of repeated ids the last row; null ids come
-    before all others). A null payload is empty."""
+    before all others). A null payload is empty; other columns are not read,
+    so their names cannot clash; an empty table gives no records."""
     rows = pages.select(F.monotonically_increasing_id().alias("_row"),
                         F.col(f"`{id_col}`").cast("bigint").alias("page_id"), F.col(f"`{url_col}`").alias("url"),
                         F.coalesce(F.col(f"`{payload_col}`"), F.lit("")).alias("payload")) \
         .withColumn("digest", F.sha1(F.col("payload").cast("binary")))
-    copies = rows.where(F.octet_length("payload") >= min_bytes).groupBy("digest").agg(
+    # shorter payloads (all empty ones share a digest) can be no copies: they stay where they are
+    large = rows.where(F.octet_length("payload") >= min_bytes)
+    copies = large.groupBy("digest").agg(
         F.max(F.struct(F.coalesce("page_id", F.lit(-(1 << 63))).alias("order"), F.col("_row"), F.col("page_id"),
                        F.col("url"))).alias("original"), F.count("*").alias("n")) \
         .where("n > 1").select("digest", "original")
     other = F.col("original").isNotNull() & (F.col("original._row") != F.col("_row"))
-    return rows.join(copies, "digest", "left").select(
+    small = rows.where(F.octet_length("payload") < min_bytes) \
+        .withColumn("original", F.lit(None).cast(copies.schema["original"].dataType))
+    return large.join(copies, "digest", "left").unionByName(small).select(
         "page_id", "url", "payload", "digest", _uuid(F.col("page_id"), F.col("_row")).alias("record_id"),
         F.when(other, _uuid(F.col("original.page_id"), F.col("original._row"))).alias("refers_id"),
         F.when(other, F.col("original.url")).alias("refers_url"))
