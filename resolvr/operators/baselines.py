@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import exact_avg
+from ..session import persist_table
 
 # Baseline names and their key sets.
 BASELINES = [
@@ -51,21 +52,43 @@ def mean_lookup(test: DataFrame, train: DataFrame, keys: list[str],
 def baseline_table(test: DataFrame, train: DataFrame, target: str = "RESPONSE_TIME_DAYS",
                    baselines=BASELINES) -> DataFrame:
     """All baselines as columns BASELINE_PREDICTION_DAYS_i of one table (A3):
-    one scan of the test rows, one small join per key set."""
-    g = global_mean(train, target)
+    one scan of the training rows for all key sets, one of the test rows, and
+    a small join per key set."""
+    means = means_of_sets(train, [keys for _, keys in baselines], target)
+    g = means.where(F.col("_set") == F.lit(0)).agg(F.max("_m")).scalar()
     out = test
     for i, (_, keys) in enumerate(baselines):
         col = f"BASELINE_PREDICTION_DAYS_{i}"
         if not keys:
             out = out.withColumn(col, g)
             continue
-        m = group_means(train, keys, target, out="_m")
+        m = means.where(F.col("_set") == F.lit(1 + i)).select(*keys, "_m")
         out = (out.join(m, on=keys, how="left")
                   .withColumn(col, F.coalesce(F.col("_m"), g))
                   .drop("_m"))
     return out
 
 
+def means_of_sets(train: DataFrame, sets: list[list[str]], target: str = "RESPONSE_TIME_DAYS") -> DataFrame:
+    """``_set``, the key columns and the mean ``_m`` of each of its groups
+    (stored): set 0 is the global mean, set ``1 + i`` the i-th of ``sets``.
+
+    The rows are summed once, by all keys; every set is summed up from that
+    table, as decimal sums are exact in any order. Null keys, which no lookup
+    meets, are groups like others there."""
+    keys = list(dict.fromkeys(k for s in sets for k in s))
+    x = F.col(target).cast("decimal(38,18)")
+    fine = train.groupBy(*keys).agg(F.sum(x).alias("_s"), F.count(x).alias("_n"))
+    part = F.posexplode(F.array(*[F.array(*[F.lit(k in s) for k in keys]) for s in [[], *sets]])).alias("_set", "_has") \
+        if keys else F.posexplode(F.array(*[F.array(F.lit(False)) for _ in [[], *sets]])).alias("_set", "_has")
+    wide = fine.select("*", part)
+    for i, k in enumerate(keys):
+        wide = wide.withColumn(k, F.when(F.col("_has")[i], F.col(k)))
+    # the mean as ``exact_avg`` gives it: the exact sum divided as a decimal, rounded to double once
+    mean = F.expr("try_divide(sum(_s), cast(sum(_n) AS decimal(20,0)))").cast("double")
+    return persist_table(wide.groupBy("_set", *keys).agg(mean.alias("_m")), "means")
+
+
 def baseline_predictions(test: DataFrame, train: DataFrame, key: str = "SR_NUMBER",
                          target: str = "RESPONSE_TIME_DAYS", baselines=BASELINES) -> DataFrame:
     """Long form (key, model_name, y_true, y_pred) of every baseline."""

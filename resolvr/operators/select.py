@@ -19,18 +19,18 @@ from .rank import global_rank
 
 
 def label_by_position(df: DataFrame, value: Column, orders: list[Column], cuts: list[int],
-                      labels: list[str], out: str) -> DataFrame:
+                      labels: list[str], out: str, n: int | None = None) -> DataFrame:
     """Add ``out``: ``labels[i]`` for a row whose 1-based position lies behind
     ``i`` of the ``cuts`` (ascending numbers of rows).
 
     ``value`` is a double that never falls along ``orders`` (the total order
     of the positions); null values come last. ``df`` must be stable
     (row-wise expressions over a stored table), as it is read more than once.
-    Rows equal in every column of ``orders`` may take each other's places. An
-    empty table gives no rows."""
+    Rows equal in every column of ``orders`` may take each other's places. ``n`` is
+    the number of rows where it is known. An empty table gives no rows."""
     x = F.coalesce(value.cast("double"), F.lit(float("1e300")))
     rows = df.select(x.alias("_x"))
-    n = rows.count()
+    n = rows.count() if n is None else n
     inner = sorted({c for c in cuts if 0 < c < n})
     at = dict(zip(inner, select_ranks(rows, [c - 1 for c in inner]))) if inner else {}
     values = sorted(set(at.values()))

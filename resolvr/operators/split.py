@@ -42,7 +42,7 @@ def chronological_split(df: DataFrame, test_ratio: float = 0.2, val_ratio: float
     n = df.count()
     n_train, n_val, _ = _sizes(n, test_ratio, val_ratio)
     return label_by_position(df, time_value(time_col), sort_orders([time_col], df),
-                             [n_train, n_train + n_val], ["train", "val", "test"], "split")
+                             [n_train, n_train + n_val], ["train", "val", "test"], "split", n)
 
 
 def ranked_split(ranked: DataFrame, test_ratio: float = 0.2, val_ratio: float = 0.2) -> DataFrame:
@@ -98,14 +98,15 @@ def hash_order(key: str | Column, seed: int) -> Column:
     return F.md5(F.concat_ws(":", k.cast("string"), F.lit(str(seed))))
 
 
-def _first_by_hash(df: DataFrame, n: int, seed: int, key: str, out: str, stable: bool) -> DataFrame:
+def _first_by_hash(df: DataFrame, n: int, seed: int, key: str, out: str, stable: bool,
+                   rows: int | None = None) -> DataFrame:
     """``out`` = 'in' for the first ``n`` rows in seeded hash order, else 'out'."""
     tmp = df.withColumn("_h", hash_order(key, seed))
     if not stable:
         tmp = persist_table(tmp, "sample")
     # 13 hexadecimal digits fit a double exactly and rise with the whole string
     value = F.conv(F.substring("_h", 1, 13), 16, 10).cast("double")
-    return label_by_position(tmp, value, sort_orders(["_h"], tmp), [n], ["in", "out"], out).drop("_h")
+    return label_by_position(tmp, value, sort_orders(["_h"], tmp), [n], ["in", "out"], out, rows).drop("_h")
 
 
 def random_split(df: DataFrame, test_ratio: float = 0.2, seed: int = 42, key: str = "SR_NUMBER",
@@ -114,7 +115,8 @@ def random_split(df: DataFrame, test_ratio: float = 0.2, seed: int = 42, key: st
     the first rows by (hash(key, seed), every column) are test."""
     if not stable:
         df = persist_table(df, "sample")
-    picked = _first_by_hash(df, int(math.ceil(df.count() * test_ratio)), seed, key, "split", True)
+    n = df.count()
+    picked = _first_by_hash(df, int(math.ceil(n * test_ratio)), seed, key, "split", True, n)
     return picked.withColumn("split", F.when(F.col("split") == "in", "test").otherwise("train"))
 
 

@@ -42,6 +42,9 @@ ORDER_COLS = ["SR_NUMBER", "SR_TYPE", "ORIGIN", "CLOSED_DATE", "ZIP_CODE", "LATI
               "CREATED_HOUR", "CREATED_DAY_OF_WEEK", "CREATED_MONTH", "RESPONSE_TIME_DAYS"]
 RANK_ORDER = "CREATED_DATE ASC NULLS LAST, " + ", ".join(f"{c} ASC NULLS LAST" for c in ORDER_COLS)
 
+PERMUTED_ORDER = ", ".join(f"{c} ASC NULLS LAST" for c in [
+    "SR_NUMBER", "SR_TYPE", "ORIGIN", "CREATED_DATE", "CLOSED_DATE", "ZIP_CODE", "LATITUDE", "LONGITUDE", "CREATED_HOUR",
+    "CREATED_DAY_OF_WEEK", "CREATED_MONTH", "RESPONSE_TIME_DAYS"])
 BASE = f"""
 p99 AS (SELECT quantile_cont(RESPONSE_TIME_DAYS, 0.99) AS t FROM eda),
 capped AS (SELECT eda.* FROM eda, p99 WHERE RESPONSE_TIME_DAYS <= t),
@@ -401,6 +404,25 @@ FROM req"""
                  ("baseline_type_zip", "p3")]:
         q[k] = w(REQ, BASE) + f"""
 SELECT SR_NUMBER, round(y_true, 6) AS y_true, round(y_pred, 6) AS y_pred FROM {p}"""
+    q["partitioned_requests"] = w(REQ) + """
+SELECT CAST(year(CREATED_DATE) * 100 + month(CREATED_DATE) AS INTEGER) AS CREATED_YM, count(*) AS n,
+       count(DISTINCT SR_NUMBER) AS n_keys,
+       round(CAST(avg(CAST(RESPONSE_TIME_DAYS AS DECIMAL(38,18))) AS DOUBLE), 6) AS mean_days
+FROM req WHERE CREATED_DATE >= TIMESTAMP '1996-03-01' AND CREATED_DATE < TIMESTAMP '1997-02-15' GROUP BY 1"""
+    shifted = " UNION ALL ".join(f"""
+SELECT '{c}' AS feature, {s} AS seed, t.*, coalesce(lead({c}) OVER o, first_value({c}) OVER o) AS other
+FROM test t WINDOW o AS (ORDER BY md5(concat_ws(':', SR_NUMBER, '{s}')), {PERMUTED_ORDER}
+                         ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""" for c in ("SR_TYPE", "ZIP_CODE") for s in (42, 43))
+    q["permutation_importance"] = w(REQ, BASE) + f""",
+mixed AS ({shifted}),
+scored AS (SELECT feature, seed, abs(x.RESPONSE_TIME_DAYS - coalesce(m.m, g)) AS e
+           FROM (SELECT * EXCLUDE (SR_TYPE, ZIP_CODE), CASE feature WHEN 'SR_TYPE' THEN other ELSE SR_TYPE END AS SR_TYPE,
+                        CASE feature WHEN 'ZIP_CODE' THEN other ELSE ZIP_CODE END AS ZIP_CODE FROM mixed) x
+           LEFT JOIN m_tz m ON x.SR_TYPE = m.SR_TYPE AND x.ZIP_CODE = m.ZIP_CODE, gm),
+base AS (SELECT avg(abs(y_true - y_pred)) AS mae, count(*) AS n_rows FROM p3),
+per AS (SELECT feature, avg(m) AS permuted_mae FROM (SELECT feature, seed, avg(e) AS m FROM scored GROUP BY ALL) GROUP BY feature)
+SELECT feature, round(mae, 6) AS mae, round(permuted_mae, 6) AS permuted_mae, round(permuted_mae - mae, 6) AS importance, n_rows
+FROM per, base"""
     q["baseline_metrics"] = w(REQ, BASE) + f"\nSELECT {ROUNDED_METRICS} FROM bmetrics"
     q["baseline_valid_metrics"] = w(REQ, BASE) + """
 SELECT 'BASELINE_PREDICTION_DAYS_' || substr(model_name, 10, 1) AS Baseline, round(mse, 3) AS MSE,

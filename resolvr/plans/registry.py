@@ -14,11 +14,16 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as lf
 from ..functions import time as tf
+from ..functions.stats import exact_avg
+from ..operators import attribution as at
 from ..operators import baselines as bl
 from ..operators import clean, encode, joins, metrics, profile, split, trials
+from ..session import persist_table, scratch_path
 from ..sources import files
 from . import prepare as pp
 
+#: First day and the day after the last of the months read back.
+PARTITION_RANGE = ("1996-03-01", "1997-02-15")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -99,11 +104,10 @@ def timestamp_parse_lenient(spark, d):
 
 @key("string_null_code")
 def string_null_code(spark, d):
-    j = joins.weather_join(pp.requests(spark, d), pp.weather(spark, d))
-    w = pp.weather(spark, d).select(F.col("date").alias("_wd"))
-    j2 = j.join(joins.bounded_broadcast(w), F.col("CREATED_DAY") == F.col("_wd"), "left")
-    return j2.select("SR_NUMBER", lf.null_code("ZIP_CODE").alias("ZIP_CODE_TEXT"),
-                     lf.null_code(F.col("_wd")).alias("WEATHER_DATE_TEXT"))
+    # the weather row's own date comes along: null where no row matched
+    j = joins.weather_join(pp.requests(spark, d), pp.weather(spark, d).withColumn("_wd", F.col("date")))
+    return j.select("SR_NUMBER", lf.null_code("ZIP_CODE").alias("ZIP_CODE_TEXT"),
+                    lf.null_code(F.col("_wd")).alias("WEATHER_DATE_TEXT"))
 
 
 def _baseline_metrics(spark, d) -> DataFrame:
@@ -556,3 +560,35 @@ def ablation_impact(spark, d):
 def distinct_dates(spark, d):
     r = pp.requests(spark, d).select(tf.day_key().alias("CREATED_DAY"))
     return profile.distinct_values(r, "CREATED_DAY")
+
+
+# ---------------------------------------------------------------- M17, S2
+
+@key("permutation_importance")
+def permutation_importance(spark, d):
+    """Both keys of the finest baseline, over the test rows, two seeds."""
+    train, test = pp.train_test(spark, d)
+    means = persist_table(bl.group_means(train, ["SR_TYPE", "ZIP_CODE"]), "means")
+    g = bl.global_mean(train)
+
+    def predict(rows):
+        j = rows.join(means, ["SR_TYPE", "ZIP_CODE"], "left")
+        return j.withColumn("y_pred", F.coalesce("_group_mean", g)).drop("_group_mean")
+
+    got = at.permutation_importance(test, predict, ["SR_TYPE", "ZIP_CODE"], [42, 43])
+    return got.select("feature", r6("mae").alias("mae"), r6("permuted_mae").alias("permuted_mae"),
+                      r6("importance").alias("importance"), "n_rows")
+
+
+@key("partitioned_requests")
+def partitioned_requests(spark, d):
+    """Requests landed by month, one month landed again, a range read back."""
+    path = scratch_path(spark, "by-month")
+    rows = pp.requests(spark, d)
+    files.ingest_by_month(rows, path)
+    again = rows.where((F.col("CREATED_DATE") >= PARTITION_RANGE[0]) &
+                       (F.col("CREATED_DATE") < F.add_months(F.lit(PARTITION_RANGE[0]).cast("date"), 1)))
+    files.ingest_by_month(again, path)
+    back = files.load_months(spark, path, *PARTITION_RANGE)
+    return back.groupBy("CREATED_YM").agg(F.count("*").alias("n"), F.countDistinct("SR_NUMBER").alias("n_keys"),
+                                          r6(exact_avg("RESPONSE_TIME_DAYS")).alias("mean_days"))

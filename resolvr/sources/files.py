@@ -92,3 +92,41 @@ def first_rows(df: DataFrame, n: int = 10, order: list | None = None) -> DataFra
     each task keeps its own best n."""
     order = order or df.columns
     return df.orderBy(*order).limit(n)
+
+
+MONTH = "CREATED_YM"
+
+
+def ingest_by_month(rows: DataFrame, path: str, time_col: str = "CREATED_DATE", rejected: str | None = None) -> None:
+    """Writes ``rows`` into a table of one folder per month (S2): Parquet below
+    ``path``, partitioned by ``CREATED_YM`` (year x 100 + month). Months that
+    ``rows`` holds replace those of the table, all others stay as they are, so
+    a month can be landed again. Each task sends a month's rows to a few tasks
+    of that month, so a hot month is not one task.
+
+    Rows without a time have no month; they are written to ``rejected`` if
+    given (appended), else they raise ValueError before anything is written."""
+    lost = rows.where(F.col(time_col).isNull())
+    if rejected:
+        lost.write.mode("append").parquet(rejected)
+    elif lost.limit(1).count():
+        raise ValueError(f"rows without {time_col} have no month; name a table for rejected rows")
+    ym = (F.year(time_col) * 100 + F.month(time_col)).cast("int")
+    kept = rows.where(F.col(time_col).isNotNull()).withColumn(MONTH, ym)
+    spread = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(4))
+    kept.repartition(F.col(MONTH), spread).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+        .partitionBy(MONTH).parquet(path)
+
+
+def load_months(spark: SparkSession, path: str, start: str | None = None, end: str | None = None,
+                time_col: str = "CREATED_DATE") -> DataFrame:
+    """Rows of ``ingest_by_month`` with ``start <= time < end``; only the
+    folders of those months are read."""
+    df = spark.read.parquet(path)
+    if start is not None:
+        df = df.where((F.col(MONTH) >= int(start[:4]) * 100 + int(start[5:7])) &
+                      (F.col(time_col) >= F.lit(start).cast("timestamp_ntz")))
+    if end is not None:
+        df = df.where((F.col(MONTH) <= int(end[:4]) * 100 + int(end[5:7])) &
+                      (F.col(time_col) < F.lit(end).cast("timestamp_ntz")))
+    return df
