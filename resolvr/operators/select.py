@@ -51,7 +51,12 @@ def label_by_position(df: DataFrame, value: Column, orders: list[Column], cuts:
 
     apart = df.where(~x.isin(split)) if split else df
     parts = [apart.withColumn(out, pick([behind(c) for c in cuts]))]
-    for v in split:
-        tied = global_rank(df.where(x == v), orders, "_pos")
-        parts.append(tied.withColumn(out, pick([F.col("_pos") + below[v] > c for c in cuts])).drop("_pos"))
+    if split:
+        # all tied rows are ranked at once: their values are apart, and how many lie before each is known
+        tied, at_value, before = global_rank(df.where(x.isin(split)), [x.asc(), *orders], "_pos"), F.lit(None).cast("long"), 0
+        for v in split:
+            at_value = F.when(x == v, F.col("_pos") + F.lit(below[v] - before)).otherwise(at_value)
+            before += ties[v]
+        tied = tied.withColumn("_pos", at_value)
+        parts.append(tied.withColumn(out, pick([F.col("_pos") > c for c in cuts])).drop("_pos"))
     return reduce(lambda a, b: a.unionByName(b), parts)

@@ -435,8 +435,8 @@ def proportional_sample(spark, d):
 # ---------------------------------------------------------------- A23-A26, J6 over CV trials
 
 def _trials(spark, d) -> DataFrame:
-    train = pp.ranked_split3(spark, d).where(F.col("split") == "train")
-    return trials.cv_baseline_trials(train, pp.n_train(spark, d), 5)
+    """The stored trials of the training rows, the first ones in time order."""
+    return pp._memo(spark, ("trials", d), lambda: trials.cv_baseline_trials(pp.capped(spark, d), pp.n_train(spark, d), 5))
 
 
 @key("trial_summary")
