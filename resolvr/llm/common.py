@@ -29,6 +29,14 @@ def as_bytes(column) -> list:
     return column.cast(pa.binary()).to_pylist()
 
 
+def cut(batches, rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that a task turns a few MB of
+    texts into Python objects at a time."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
 def slices(texts: list, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Consecutive (start, end) ranges of ``texts`` of about ``limit`` bytes;
     a longer text makes a range of its own."""

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import persist_table
-from .common import SLICE_BYTES, as_bytes, handed_through, packed, slices
+from .common import SLICE_BYTES, as_bytes, cut, handed_through, packed, slices
 
 SPAN = 13
 K, W = 8, 6
@@ -228,7 +228,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
         def run(batches):
             bench = _index(*shared.value)
-            for batch in batches:
+            for batch in cut(batches):
                 texts = as_bytes(batch["text"])
                 yield judged(batch, [x for a, b in slices(texts) for x in bench.hits(texts[a:b])])
 
@@ -243,7 +243,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                                      F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids"))
 
     def merge(batches):
-        for batch in batches:
+        for batch in cut(batches):
             texts = as_bytes(batch["text"])
             n_words = [x for a, b in slices(texts) for x, _, _ in Benchmark([]).hits(texts[a:b])]
             yield judged(batch, [(n, list(zip((r or [])[::2], (r or [])[1::2])), set(i or []))
@@ -274,7 +274,7 @@ def _marks(rows: DataFrame, shared) -> DataFrame:
     """``row, runs, ids`` of the rows that a part of the benchmark hits."""
     def run(batches):
         bench = _index(*shared.value)
-        for batch in batches:
+        for batch in cut(batches):
             texts = as_bytes(batch["text"])
             found = [x for a, b in slices(texts) for x in bench.hits(texts[a:b])]
             at = [i for i, (_, runs, _) in enumerate(found) if runs]

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import persist_table
-from .common import handed_through, slices
+from .common import cut, handed_through, slices
 
 BUCKETS = 1 << 14
 SIZES = (2, 3)
@@ -72,7 +72,7 @@ def learn(docs: DataFrame, lang: Column, text_col: str = "text", buckets: int =
 
     def count(batches):
         total, n_docs = {}, {}
-        for batch in batches:
+        for batch in cut(batches):
             texts, labels = batch["text"].to_pylist(), np.array(batch["lang"].to_pylist(), object)
             for lab in labels:
                 n_docs[lab] = n_docs.get(lab, 0) + 1
@@ -125,7 +125,7 @@ def predict(docs: DataFrame, model, text_col: str = "text", carry: list[str] | N
 
     def run(batches):
         langs, prior, logp = shared.value
-        for batch in batches:
+        for batch in cut(batches):
             texts = batch["text"].to_pylist()
             known = np.array([has_letter(t) for t in texts], bool) & bool(langs)
             post = _posteriors(texts, langs, prior, logp, buckets, sizes)
@@ -163,7 +163,7 @@ def _predict_in_blocks(docs: DataFrame, blocks: list, text_col: str, carry: list
 
         def run(batches):
             langs, prior, logp = shared.value
-            for batch in batches:
+            for batch in cut(batches):
                 texts = batch["text"].to_pylist()
                 post = _posteriors(texts, langs, prior, logp, buckets, sizes)
                 best = post.argmax(1)

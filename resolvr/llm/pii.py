@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import handed_through
+from .common import cut, handed_through
 
 KINDS = ("email", "ip", "card", "phone")
 #: Bounds of the training sample: documents read, windows kept.
@@ -335,7 +335,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
         return None
 
     def stretches(batches):
-        for batch in batches:
+        for batch in cut(batches):
             out = [s for t in batch["text"].to_pylist() if t for s in _labelled(t)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["s"])
 
@@ -418,7 +418,7 @@ def find(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", carry:
 
     def run(batches):
         model = shared.value
-        for batch in batches:
+        for batch in cut(batches):
             texts = batch["text"].to_pylist()
             base = [base_spans(t) for t in texts]
             spans = [b + a for b, a in zip(base, added_spans(texts, base, model))] if model else base

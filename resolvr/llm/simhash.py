@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import persist_table
-from .common import as_bytes, keyed
+from .common import as_bytes, cut, keyed
 from .components import connected_components
 
 SEED = 42
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``_row, doc_id, fp`` of every row of a stored table, no shuffle;
     ``_row`` is ``row_col``, or without one numbered in this scan."""
     def run(batches):
-        for batch in batches:
+        for batch in cut(batches):
             fps = [fingerprint(t, shingle) for t in as_bytes(batch["text"])]
             yield pa.RecordBatch.from_arrays([batch["_row"], batch["doc_id"], pa.array(fps, pa.int64())],
                                              ["_row", "doc_id", "fp"])
