@@ -3,12 +3,21 @@ rounding as ``registry``). Tables are the driver's pre-registered views."""
 
 from __future__ import annotations
 
-from ..functions import time as tf
-from ..functions import weather as wf
-from ..functions.labels import CHART_MODELS, DISPLAY_LABELS, SERIES_CLASSES, SERIES_DEFAULT
-from ..operators.baselines import BASELINES
 from .registry import CORR_FEATURES, CUTOFF, MODE_COLUMNS, PROFILE_COLUMNS
 
+# Fixed values, written out here and not taken from the modules that the SQL checks: flag thresholds (degrees F, inches,
+# inches), monthly normals, response categories (right-closed, whole days), weekdays from Monday, chart labels, colours
+# and models, names of the baselines.
+COLD, WET, SNOW = 20, 0.5, 0
+NORMALS = {1: 27, 2: 30, 3: 41, 4: 52, 5: 63, 6: 72, 7: 77, 8: 75, 9: 68, 10: 56, 11: 43, 12: 31}
+EDGES, CATEGORIES = [-1, 1, 7, 30], ["< 1 day", "< 7 days", "< 30 days", "> 30 days"]
+WEEKDAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
+CLEAN_LABELS = {"Baseline_1_SR_TYPE": "Baseline (SR_TYPE)", "LightGBM_Ensemble": "LightGBM", "XGB_Conservative": "XGBoost",
+                "RF_Conservative": "Random Forest"}
+COLOURS, OTHER_COLOUR = [("Baseline", "#e74c3c"), ("XGB", "#3498db"), ("RF", "#2ecc71"), ("LightGBM", "#9b59b6")], "#95a5a6"
+SELECTED = ["XGB_Conservative", "RF_Conservative", "LightGBM_Ensemble", "Baseline_1_SR_TYPE"]
+BASELINE_NAMES = ["Baseline_0_Global", "Baseline_1_SR_TYPE", "Baseline_2_ZIP", "Baseline_3_SR_ZIP"]
+
 REQ = """
 requests AS (
   SELECT concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS SR_NUMBER,
@@ -70,10 +79,10 @@ p2 AS (SELECT t.SR_NUMBER, t.RESPONSE_TIME_DAYS AS y_true, coalesce(m.m, g) AS y
        FROM test t LEFT JOIN m_zip m ON t.ZIP_CODE = m.ZIP_CODE, gm),
 p3 AS (SELECT t.SR_NUMBER, t.RESPONSE_TIME_DAYS AS y_true, coalesce(m.m, g) AS y_pred
        FROM test t LEFT JOIN m_tz m ON t.SR_TYPE = m.SR_TYPE AND t.ZIP_CODE = m.ZIP_CODE, gm),
-preds AS (SELECT '{BASELINES[0][0]}' AS model_name, * FROM p0 UNION ALL
-          SELECT '{BASELINES[1][0]}', * FROM p1 UNION ALL
-          SELECT '{BASELINES[2][0]}', * FROM p2 UNION ALL
-          SELECT '{BASELINES[3][0]}', * FROM p3),
+preds AS (SELECT '{BASELINE_NAMES[0]}' AS model_name, * FROM p0 UNION ALL
+          SELECT '{BASELINE_NAMES[1]}', * FROM p1 UNION ALL
+          SELECT '{BASELINE_NAMES[2]}', * FROM p2 UNION ALL
+          SELECT '{BASELINE_NAMES[3]}', * FROM p3),
 bmetrics AS (
   SELECT model_name, avg((y_true - y_pred) * (y_true - y_pred)) AS mse,
          sqrt(avg((y_true - y_pred) * (y_true - y_pred))) AS rmse,
@@ -99,11 +108,11 @@ def _case_map(col: str, d: dict) -> str:
 
 
 def _series(col: str) -> str:
-    parts = " ".join(f"WHEN contains({col}, '{s}') THEN '{c}'" for s, c in SERIES_CLASSES)
-    return f"CASE {parts} ELSE '{SERIES_DEFAULT}' END"
+    parts = " ".join(f"WHEN contains({col}, '{s}') THEN '{c}'" for s, c in COLOURS)
+    return f"CASE {parts} ELSE '{OTHER_COLOUR}' END"
 
 
-_normals = " ".join(f"WHEN {m} THEN {t}" for m, t in wf.MONTHLY_NORMAL_F.items())
+_normals = " ".join(f"WHEN {m} THEN {t}" for m, t in NORMALS.items())
 TEMP_NORMAL = f"(CASE CREATED_MONTH {_normals} END)"
 
 US = "%m/%d/%Y %I:%M:%S %p"
@@ -211,9 +220,9 @@ def _null_counts_sql() -> str:
 def _weather_stats_sql() -> str:
     feat = f"""
 wf AS (SELECT *,
-   CAST(coalesce(temp_mean < {wf.COLD_BELOW_F}, false) AS INTEGER) AS extreme_cold,
-   CAST(coalesce(precipitation > {wf.HEAVY_PRECIP_ABOVE_IN}, false) AS INTEGER) AS heavy_precipitation,
-   CAST(coalesce(snowfall > {wf.SNOW_ABOVE_IN}, false) AS INTEGER) AS snow_day,
+   CAST(coalesce(temp_mean < {COLD}, false) AS INTEGER) AS extreme_cold,
+   CAST(coalesce(precipitation > {WET}, false) AS INTEGER) AS heavy_precipitation,
+   CAST(coalesce(snowfall > {SNOW}, false) AS INTEGER) AS snow_day,
    CAST(coalesce(temp_mean - {TEMP_NORMAL}, 0.0) AS DOUBLE) AS temp_deviation FROM wj)"""
     cols = ["temp_mean", "precipitation", "snowfall", "extreme_cold", "heavy_precipitation", "snow_day",
             "temp_deviation"]
@@ -237,16 +246,16 @@ f1 AS (SELECT fold, SR_TYPE, CAST(avg(CAST(RESPONSE_TIME_DAYS AS DECIMAL(38,18))
 f2 AS (SELECT fold, ZIP_CODE, CAST(avg(CAST(RESPONSE_TIME_DAYS AS DECIMAL(38,18))) AS DOUBLE) AS m FROM ftr GROUP BY fold, ZIP_CODE),
 f3 AS (SELECT fold, SR_TYPE, ZIP_CODE, CAST(avg(CAST(RESPONSE_TIME_DAYS AS DECIMAL(38,18))) AS DOUBLE) AS m FROM ftr GROUP BY fold, SR_TYPE, ZIP_CODE),
 tp AS (
-  SELECT '{BASELINES[0][0]}' AS model, v.fold, v.RESPONSE_TIME_DAYS AS y_true, g AS y_pred
+  SELECT '{BASELINE_NAMES[0]}' AS model, v.fold, v.RESPONSE_TIME_DAYS AS y_true, g AS y_pred
     FROM fva v JOIN fg USING (fold)
   UNION ALL
-  SELECT '{BASELINES[1][0]}', v.fold, v.RESPONSE_TIME_DAYS, coalesce(m.m, g)
+  SELECT '{BASELINE_NAMES[1]}', v.fold, v.RESPONSE_TIME_DAYS, coalesce(m.m, g)
     FROM fva v JOIN fg USING (fold) LEFT JOIN f1 m ON m.fold = v.fold AND m.SR_TYPE = v.SR_TYPE
   UNION ALL
-  SELECT '{BASELINES[2][0]}', v.fold, v.RESPONSE_TIME_DAYS, coalesce(m.m, g)
+  SELECT '{BASELINE_NAMES[2]}', v.fold, v.RESPONSE_TIME_DAYS, coalesce(m.m, g)
     FROM fva v JOIN fg USING (fold) LEFT JOIN f2 m ON m.fold = v.fold AND m.ZIP_CODE = v.ZIP_CODE
   UNION ALL
-  SELECT '{BASELINES[3][0]}', v.fold, v.RESPONSE_TIME_DAYS, coalesce(m.m, g)
+  SELECT '{BASELINE_NAMES[3]}', v.fold, v.RESPONSE_TIME_DAYS, coalesce(m.m, g)
     FROM fva v JOIN fg USING (fold) LEFT JOIN f3 m
       ON m.fold = v.fold AND m.SR_TYPE = v.SR_TYPE AND m.ZIP_CODE = v.ZIP_CODE),
 trials AS (SELECT model, fold AS seed, avg(abs(y_true - y_pred)) AS mae,
@@ -308,7 +317,7 @@ FROM eda GROUP BY 1"""
 
 
 def _dow_sql() -> str:
-    names = " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(tf.WEEKDAY_NAMES))
+    names = " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(WEEKDAYS))
     return w(REQ) + f"""
 SELECT CAST(CREATED_DAY_OF_WEEK AS BIGINT) AS CREATED_DAY_OF_WEEK,
        CASE CREATED_DAY_OF_WEEK {names} END AS day_name,
@@ -316,8 +325,8 @@ SELECT CAST(CREATED_DAY_OF_WEEK AS BIGINT) AS CREATED_DAY_OF_WEEK,
 
 
 def _category_sql() -> str:
-    e = tf.CATEGORY_EDGES
-    lab = tf.CATEGORY_LABELS
+    e = EDGES
+    lab = CATEGORIES
     return w(REQ) + f""",
 cat AS (SELECT SR_NUMBER, CAST(floor(RESPONSE_TIME_DAYS) AS BIGINT) AS d FROM req)
 SELECT SR_NUMBER, d AS RESPONSE_TIME_WHOLE_DAYS,
@@ -362,7 +371,7 @@ SELECT SR_NUMBER, coalesce(CAST(ZIP_CODE AS VARCHAR), 'nan') AS ZIP_CODE_TEXT,
        coalesce(CAST(w.date AS VARCHAR), 'nan') AS WEATHER_DATE_TEXT
 FROM wj LEFT JOIN weather w ON wj.CREATED_DAY = w.date"""
     q["flag_map"] = w(REQ, BASE) + f"""
-SELECT model_name, {_case_map('model_name', DISPLAY_LABELS)} AS clean_label, {_series('model_name')} AS series,
+SELECT model_name, {_case_map('model_name', CLEAN_LABELS)} AS clean_label, {_series('model_name')} AS series,
        round_even(mae, 2) AS mae_2dp, round_even(rmse, 2) AS rmse_2dp FROM bmetrics"""
     q["positive_only"] = w(REQ) + """
 SELECT SR_NUMBER, round(RESPONSE_TIME_DAYS, 6) AS RESPONSE_TIME_DAYS FROM eda WHERE RESPONSE_TIME_DAYS > 0"""
@@ -375,9 +384,9 @@ SELECT round(t, 6) AS threshold, count(*) AS n_before, CAST(count_if(RESPONSE_TI
 SELECT SR_NUMBER, CREATED_DAY, temp_mean, precipitation, snowfall FROM wj"""
     q["weather_features"] = w(REQ, WEATHER) + f"""
 SELECT SR_NUMBER,
-   CAST(coalesce(temp_mean < {wf.COLD_BELOW_F}, false) AS BIGINT) AS extreme_cold,
-   CAST(coalesce(precipitation > {wf.HEAVY_PRECIP_ABOVE_IN}, false) AS BIGINT) AS heavy_precipitation,
-   CAST(coalesce(snowfall > {wf.SNOW_ABOVE_IN}, false) AS BIGINT) AS snow_day,
+   CAST(coalesce(temp_mean < {COLD}, false) AS BIGINT) AS extreme_cold,
+   CAST(coalesce(precipitation > {WET}, false) AS BIGINT) AS heavy_precipitation,
+   CAST(coalesce(snowfall > {SNOW}, false) AS BIGINT) AS snow_day,
    CAST({TEMP_NORMAL} AS BIGINT) AS temp_normal,
    round(CAST(coalesce(temp_mean - {TEMP_NORMAL}, 0.0) AS DOUBLE), 6) AS temp_deviation FROM wj"""
     q["weather_complete"] = w(REQ, WEATHER) + """
@@ -392,9 +401,9 @@ SELECT CAST(year(CREATED_DATE) AS BIGINT) AS year, count(SR_NUMBER) AS total_req
        count(temp_mean) AS with_weather,
        round_even(count(temp_mean) * 100.0 / count(SR_NUMBER), 2) AS pct_with_weather FROM wj GROUP BY 1"""
     q["weather_flag_counts"] = w(REQ, WEATHER) + f"""
-SELECT CAST(count_if(temp_mean < {wf.COLD_BELOW_F}) AS BIGINT) AS extreme_cold_requests,
-       CAST(count_if(precipitation > {wf.HEAVY_PRECIP_ABOVE_IN}) AS BIGINT) AS heavy_precipitation_requests,
-       CAST(count_if(snowfall > {wf.SNOW_ABOVE_IN}) AS BIGINT) AS snow_day_requests FROM wj"""
+SELECT CAST(count_if(temp_mean < {COLD}) AS BIGINT) AS extreme_cold_requests,
+       CAST(count_if(precipitation > {WET}) AS BIGINT) AS heavy_precipitation_requests,
+       CAST(count_if(snowfall > {SNOW}) AS BIGINT) AS snow_day_requests FROM wj"""
     q["weather_stats"] = _weather_stats_sql()
     q["date_range"] = w(REQ) + """
 SELECT min(CAST(CREATED_DATE AS DATE)) AS min_date, max(CAST(CREATED_DATE AS DATE)) AS max_date,
@@ -468,7 +477,8 @@ SELECT coalesce(split, 'total') AS split, count(*) AS n_rows, min(CREATED_DATE)
 FROM split3 GROUP BY ROLLUP (split)"""
     q["split_cutoff"] = w(REQ, BASE) + f"""
 SELECT SR_NUMBER, CREATED_DATE,
-       CASE WHEN CREATED_DATE < TIMESTAMP '{CUTOFF} 00:00:00' THEN 'train' ELSE 'test' END AS split FROM capped"""
+       CASE WHEN CREATED_DATE < TIMESTAMP '{CUTOFF} 00:00:00' THEN 'train'
+            WHEN CREATED_DATE >= TIMESTAMP '{CUTOFF} 00:00:00' THEN 'test' END AS split FROM capped"""
     q["cv_folds"] = w(REQ, BASE) + """,
 ntr AS (SELECT count(*) AS n, count(*) // 6 AS t FROM train),
 folds AS (SELECT f.range AS fold, n - (5 - f.range) * t AS train_end, n - (5 - f.range - 1) * t AS val_end
@@ -518,7 +528,7 @@ SELECT SR_NUMBER, round(LATITUDE, 6) AS LATITUDE, round(LONGITUDE, 6) AS LONGITU
     q["point_table"] = w(REQ) + """
 SELECT LONGITUDE, LATITUDE, round(RESPONSE_TIME_DAYS, 6) AS RESPONSE_TIME_DAYS FROM req
 WHERE LONGITUDE IS NOT NULL AND LATITUDE IS NOT NULL AND RESPONSE_TIME_DAYS IS NOT NULL"""
-    chart = ", ".join(f"'{m}'" for m in CHART_MODELS)
+    chart = ", ".join(f"'{m}'" for m in SELECTED)
     q["model_filter"] = w(REQ, BASE) + f"""
 SELECT {ROUNDED_METRICS} FROM bmetrics WHERE model_name IN ({chart}) OR contains(model_name, 'ZIP')"""
     q["result_union"] = w(REQ, BASE) + f"\nSELECT {ROUNDED_METRICS} FROM bmetrics"
