@@ -127,7 +127,8 @@ def permutation_importance(rows: DataFrame, predict, features: list[str], seeds:
     for p in parts[1:]:
         every = every.unionByName(p)
     maes = persist_table(every.groupBy("feature", "seed").agg(F.avg("e").alias("m"), F.count("e").alias("n")), "permuted-mae")
-    base = maes.where("feature is null").select(F.col("m").alias("mae"), F.col("n").alias("n_rows"))
+    base = maes.where("feature is null")
+    mae, n_rows = base.agg(F.max("m")).scalar(), base.agg(F.max("n")).scalar()
     mixed = maes.where("feature is not null").groupBy("feature").agg(F.avg("m").alias("permuted_mae"))
-    return mixed.join(F.broadcast(base)).select("feature", "mae", "permuted_mae",  # one row
-                                                (F.col("permuted_mae") - F.col("mae")).alias("importance"), "n_rows")
+    return mixed.select("feature", mae.alias("mae"), "permuted_mae", (F.col("permuted_mae") - mae).alias("importance"),
+                        n_rows.alias("n_rows"))
