@@ -30,8 +30,10 @@ def shapley(model, rows: DataFrame, background: DataFrame, features: list[str],
     nf = len(features)
     # a stored unique row id: the request key may repeat, and the ids must
     # not change between the branches that reuse them
-    rows = persist_table(rows.select(key, *features).withColumn("_rid", F.monotonically_increasing_id()),
-                         "shapley_rows")
+    # (dealt evenly, as every row is scored permutations x (features + 1) times)
+    slots = rows.sparkSession.sparkContext.defaultParallelism
+    rows = persist_table(rows.select(key, *features).withColumn("_rid", F.monotonically_increasing_id())
+                             .repartition(4 * slots), "shapley_rows")
     bg = exact_sample(background.select(key, *features), background_size, seed, key)
     bg = bg.withColumn("_bg", F.row_number().over(Window.orderBy(key)) - 1)   # <= background_size rows
     bg = bg.select("_bg", *[F.col(f).alias(f"_z_{f}") for f in features])
