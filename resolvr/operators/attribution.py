@@ -4,20 +4,23 @@ Monte-Carlo Shapley values (Strumbelj and Kononenko): for each explained
 row x and each of P seeded permutations, a background row z is drawn from a
 small fixed-size background sample (broadcast, size bounded by its
 parameter), and the F+1 coalition instances (first s features of the
-permutation from x, the rest from z, s = 0..F) are scored in one
-``model.transform`` over the exploded frame. The difference of adjacent
+permutation from x, the rest from z, s = 0..F) are scored. The difference of adjacent
 coalitions is the marginal contribution of the feature that entered; its
 mean over permutations is the attribution. Work = rows x P x (F+1)
-predictions, spread over all tasks; each (row, permutation) group has F+1
-rows. In every permutation the differences telescope to f(x) - f(z), so a
+predictions, spread over all tasks. A model that scores arrays does so where the row
+is: no coalition leaves its task, nothing is shuffled, and a row with its attributions
+is stored once. Other models score the exploded frame in one ``model.transform``. In every permutation the differences telescope to f(x) - f(z), so a
 row's attributions sum to f(x) minus the mean of f(z) over its draws.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from .split import exact_sample
 
@@ -35,6 +38,8 @@ def shapley(model, rows: DataFrame, background: DataFrame, features: list[str],
     rows = persist_table(rows.select(key, *features).withColumn("_rid", F.monotonically_increasing_id())
                              .repartition(4 * slots), "shapley_rows")
     bg = exact_sample(background.select(key, *features), background_size, seed, key)
+    if hasattr(model, "score"):
+        return _long(_scored_in_place(model, rows, bg, features, key, permutations, seed), features, key, model_name)
     bg = bg.withColumn("_bg", F.row_number().over(Window.orderBy(key)) - 1)   # <= background_size rows
     bg = bg.select("_bg", *[F.col(f).alias(f"_z_{f}") for f in features])
     n_bg = bg.count()
@@ -71,6 +76,60 @@ def shapley(model, rows: DataFrame, background: DataFrame, features: list[str],
                .select(key, F.lit(model_name).alias("model_name"), names.alias("feature"), "value", "attribution"))
 
 
+#: Coalitions that are scored at a time.
+SCORED = 200_000
+
+
+def _scored_in_place(model, rows: DataFrame, bg: DataFrame, features: list[str], key: str, permutations: int,
+                     seed: int) -> DataFrame:
+    """``rows`` (key, features) with ``_att``, the attribution of each feature, stored."""
+    from ..session import importable, persist_table
+    spark, nf = rows.sparkSession, len(features)
+    importable(spark)
+    # <= background_size rows
+    z = np.array([[np.nan if v is None else float(v) for v in r[1:]] for r in bg.orderBy(key).select(key, *features).collect()])
+    if not len(z):
+        rows, z = rows.limit(0), np.zeros((1, nf))
+    if hasattr(model, "for_rows"):
+        model = model.for_rows(spark, rows.count() * permutations * (nf + 1))
+    shared = spark.sparkContext.broadcast((model, z))
+
+    def draw(*more):
+        return F.xxhash64(F.col(key), F.col("_rid"), *[F.lit(x) for x in (*more, seed)])
+    given = rows.select(
+        key, *features, F.array(*[F.col(f).cast("double") for f in features]).alias("_x"),
+        F.array(*[F.pmod(draw(p), F.lit(len(z))) for p in range(permutations)]).alias("_bg"),
+        F.array(*[draw(p, i) for p in range(permutations) for i in range(nf)]).alias("_order"))
+    own = [f for f in given.schema.fields if f.name in (key, *features)]
+
+    def explained(batches):
+        model, z = shared.value
+        step = max(1, SCORED // (permutations * (nf + 1)))
+        for batch in batches:
+            for b in (batch.slice(a, step) for a in range(0, len(batch), step)):
+                n = len(b)
+                x = b["_x"].flatten().to_numpy(zero_copy_only=False).reshape(n, 1, nf)
+                bg = b["_bg"].flatten().to_numpy(zero_copy_only=False).reshape(n, permutations)
+                # permutation order: features sorted by a hash of (row, permutation, feature)
+                order = np.argsort(b["_order"].flatten().to_numpy().reshape(n, permutations, nf), axis=2, kind="stable")
+                place = np.argsort(order, axis=2)[:, :, None, :]
+                # position of each feature inside the permutation decides x or z
+                mixed = np.where(place < np.arange(nf + 1)[:, None], x[:, :, None, :], z[bg][:, :, None, :])
+                got = model.score(mixed.reshape(-1, nf)).reshape(n, permutations, nf + 1)
+                att = np.take_along_axis(np.diff(got, axis=2), place[:, :, 0, :], 2).sum(1) / permutations
+                yield pa.RecordBatch.from_arrays([*[b[f.name] for f in own], pa.array(list(att), pa.list_(pa.float64()))],
+                                                 [*[f.name for f in own], "_att"])
+    kind = StructType([*own, StructField("_att", ArrayType(DoubleType()))])
+    return persist_table(given.mapInArrow(explained, kind), "shapley")
+
+
+def _long(rows: DataFrame, features: list[str], key: str, model_name: str) -> DataFrame:
+    """A row per row and feature."""
+    parts = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value"),
+                                         F.col("_att")[i].alias("attribution")) for i, f in enumerate(features)]))
+    return rows.select(key, F.lit(model_name).alias("model_name"), parts.alias("_v")).select(key, "model_name", "_v.*")
+
+
 def attribution_summary(att: DataFrame) -> DataFrame:
     """Mean absolute and mean signed attribution per feature."""
     return (att.groupBy("model_name", "feature")
